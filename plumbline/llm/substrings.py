@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import partitions, scratch
 from plumbline.llm.packing import binaries, buckets_for, flat, pack, unpack
-from plumbline.llm.wordhash import _POW, mix, windows, words_of
+from plumbline.llm.wordhash import _POW, by_bytes, mix, windows, words_of
 
 _SELF = np.uint64(0xA5A5A5A5A5A5A5A5)
 _LAST = 2**63 - 1
@@ -69,7 +69,7 @@ def spans(docs: DataFrame, text: str = "text", record: str = "doc_id", window: i
     src = docs.select(F.coalesce(F.col(record).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             _, _, h, rows = words_of(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_prints(h, rows).view(np.int64)), pa.array(np.diff(rows).astype(np.int64))], names=["id", "print", "n_words"])
 
@@ -81,7 +81,7 @@ def spans(docs: DataFrame, text: str = "text", record: str = "doc_id", window: i
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             _, _, h, rows = words_of(batch.column("text"))
             prints = _prints(h, rows)
             k, _ = windows(h, rows, anchor)
@@ -127,7 +127,7 @@ def spans(docs: DataFrame, text: str = "text", record: str = "doc_id", window: i
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows whose minimiser repeats, with their neighbours and places."""
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             if not batch.num_rows:
                 continue
             _, _, h, rows = words_of(batch.column("text"))
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", record: str = "doc_id",
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(span))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, text):
             at = batch.schema.names.index(text)
             texts = batch.column(at).cast(pa.large_string())
             cuts = batch.column(batch.schema.names.index("_cut")).to_pylist()

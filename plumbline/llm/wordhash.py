@@ -7,8 +7,11 @@ tabulated polynomial, so a batch of documents is hashed without a Python loop ov
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240117)
 #: One random 64-bit value per byte, and the odd base of the polynomial with its inverse modulo 2**64.
@@ -43,6 +46,25 @@ _POW = _powers(_BASE, _SEGMENT + 1)
 _INV = _powers(_INVERSE, _SEGMENT + 1)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of ``column`` (text, binary or a list of binaries), so memory
+    doesn't follow the number of rows in a batch; a longer row comes alone."""
+    for batch in batches:
+        cells = batch.column(batch.schema.names.index(column))
+        if pa.types.is_list(cells.type):
+            inner = np.concatenate([[0], np.cumsum(pc.binary_length(cells.values.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False))])
+            sizes = np.diff(inner[cells.offsets.to_numpy()])
+        else:
+            sizes = pc.binary_length(cells.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes)
+        lo = 0
+        while lo < len(sizes):
+            before = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, before + size, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and the n+1 offsets of its rows in them; a null row is empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -76,7 +98,6 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     hashes = np.zeros(len(starts), dtype=np.uint64)
     if lower:
         raw = _LOWER[raw]
-    value = _BYTE[raw]
     lo = 0
     while lo < len(starts):
         # as many words as fit a segment; a word longer than that is hashed alone, piece by piece
@@ -84,13 +105,13 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
         if hi <= lo:
             h = 0
             for s in range(int(starts[lo]), int(ends[lo]), _SEGMENT):
-                part = value[s : min(s + _SEGMENT, int(ends[lo]))]
+                part = _BYTE[raw[s : min(s + _SEGMENT, int(ends[lo]))]]
                 h = (h * _BASE + int(np.sum(part * _POW[: len(part)], dtype=np.uint64))) % 2**64
             hashes[lo] = h
             lo += 1
             continue
         first = int(starts[lo])
-        part = value[first : int(ends[hi - 1])]
+        part = _BYTE[raw[first : int(ends[hi - 1])]]
         total = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(part * _POW[: len(part)], out=total[1:])
         s, e = starts[lo:hi] - first, ends[lo:hi] - first
