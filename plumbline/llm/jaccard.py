@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import components, partitions, scratch
 from plumbline.llm.packing import binaries, buckets_for, flat, pack, unpack
-from plumbline.llm.wordhash import mix, windows, words_of
+from plumbline.llm.wordhash import by_bytes, mix, windows, words_of
 
 #: Each frequency class of the global order is cut by the top bits of the hash into so many fragments.
 _CUTS = 4
@@ -59,7 +59,7 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
     src = docs.select(F.col(record).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             sets, prints = _sets(batch.column("text"), words)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(prints.view(np.int64), mask=n == 0)], names=["id", "n", "class"])
@@ -70,7 +70,7 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes this task has sent; forgetting them would only send a copy twice
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             sets, prints = _sets(batch.column("text"), words)
             new = []
             for i, p in enumerate(prints.tolist()):
@@ -142,7 +142,7 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
 
             return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
 
-        for batch in batches:
+        for batch in by_bytes(batches, "grams", 1 << 20):
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
