@@ -23,9 +23,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows of a few numbers that one task writes at most, where a table's number of rows is known beforehand.
+_ROWS_A_FILE = 500_000
+
+
+def scratch(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``, where known (an upper bound will do), keeps a small table from being written as many tiny files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // _ROWS_A_FILE)))
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _PATHS.append((spark, path))
@@ -67,19 +76,21 @@ def components(edges: DataFrame) -> DataFrame:
     Every step is a join or an aggregation with map-side combine; lineage is cut by scratch tables.
     """
     links = scratch(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = None
-    while not links.isEmpty():
+    labels, nodes = None, 0
+    while n := links.count():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"), F.lit(True).alias("moved")), "up")
+        up = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"), F.lit(True).alias("moved")), "up", 2 * n)
+        size = up.count()
         while True:
             top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            hop = scratch(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
+            hop = scratch(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up", size)
             release(up)
             up = hop
             if up.where("moved").isEmpty():
                 break
         root = up.select("node", "up")
         if labels is None:
+            nodes = size
             labels = root.select("node", F.col("up").alias("component"))
         else:
             labels = labels.join(root.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
@@ -90,8 +101,8 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
         )
-        labels = scratch(labels, "labels")
-        nxt = scratch(nxt, "links")
+        labels = scratch(labels, "labels", nodes)
+        nxt = scratch(nxt, "links", n)
         release(links)
         links = nxt
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch
-
 #: A query: any of these sets of trigrams, all of a set; one empty set asks for nothing.
 Query = frozenset
 ANYTHING: Query = frozenset([frozenset()])
@@ -171,7 +169,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
     grams = sorted({g for q in queries.values() for s in q for g in s})
     found = []
     if indexed:
-        index = scratch(build_index(texts, grams), "postings")
+        index = build_index(texts, grams)
         candidates = intersect(index, {r.kind: queries[r.kind] for _, r in indexed})
         verified = texts.join(candidates, ["k1", "k2", "rec"])
         found.append(_matches(verified, indexed, F.col("kinds")))
@@ -187,7 +185,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
     names = F.array(*[F.lit(r.kind) for r in rules])
     spans = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("s"))
     named = F.transform("s", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    spans = scratch(spans.select(F.col("k1").alias("_s_1"), F.col("k2").alias("_s_2"), named.alias("secrets")), "secrets")
+    spans = spans.select(F.col("k1").alias("_s_1"), F.col("k2").alias("_s_2"), named.alias("secrets"))
     keyed = docs.select("*", keys["k1"].alias("_s_k1"), keys["k2"].alias("_s_k2"))
     joined = keyed.join(spans, (F.col("_s_k1") == F.col("_s_1")) & (F.col("_s_k2") == F.col("_s_2")) & F.col(text).isNotNull(), "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
