@@ -167,5 +167,6 @@ def quality(docs: DataFrame, labels: DataFrame, record: str = "doc_id", label: s
     """
     stats = scratch(statistics(docs, text), "statistics")
     known = labels.select(F.col(record).alias("_id"), (F.col(label).cast("int") == 1).alias("target")).where("_id is not null")
-    rules, default = learn(stats.join(known, stats[record] == known["_id"]).where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words"))
+    able = stats.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words").select(F.col(record).alias("_key"), *FEATURES)
+    rules, default = learn(able.join(known, F.col("_key") == F.col("_id")))
     return judge(stats, rules, default)
