@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import Expr, clip, col, nonzero, ranked
-from plumbline.operators.stats import median, quantile
+from plumbline.operators.stats import median, quantile, with_stats
 
 
 def stack(df: DataFrame, names: Sequence[str], fields: Sequence[str], name: str = "feature_name", keep: Sequence[str] = ()) -> DataFrame:
@@ -25,14 +25,10 @@ def weighted_profile(df: DataFrame, group: Sequence[str], features: Sequence[str
     rows equally.  The deviation is taken around the group's mean in a second pass.
     """
     w = F.col("_w")
-    df = df.withColumn("_w0", F.coalesce(col(weight), F.lit(0.0)))
-    keys = [f"_g{i}" for i in range(len(group))]
-    same = lambda b: _all([df[g].eqNullSafe(b[k]) for g, k in zip(group, keys)])
-    flat = df.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)]).agg((F.max("_w0") == 0).alias("_flat"))
-    df = df.join(flat, same(flat), "left").withColumn("_w", F.when(F.col("_flat"), F.lit(1.0)).otherwise(F.col("_w0"))).drop(*keys)
+    df = with_stats(df.withColumn("_w0", F.coalesce(col(weight), F.lit(0.0))), group, {"_top": F.max("_w0")})
+    df = df.withColumn("_w", F.when(F.col("_top") == 0, F.lit(1.0)).otherwise(F.col("_w0"))).drop("_top", "_w0")
     mean = lambda x: F.sum(F.col(x) * w) / nonzero(F.sum(F.when(F.col(x).isNotNull(), w)))
-    means = df.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)]).agg(*[mean(x).alias(f"_m_{x}") for x in features])
-    df = df.join(means, same(means), "left")
+    df = with_stats(df, group, {f"_m_{x}": mean(x) for x in features})
     std = lambda x: F.sqrt(F.greatest(F.sum(w * (F.col(x) - F.col(f"_m_{x}")) * (F.col(x) - F.col(f"_m_{x}"))) / nonzero(F.sum(F.when(F.col(x).isNotNull(), w))), F.lit(0.0)))
     aggs = [F.max(f"_m_{x}").alias(f"mean__{x}") for x in features]
     aggs += [F.when(F.count(F.col(x) * F.col(f"_m_{x}")) > 0, std(x)).alias(f"std__{x}") for x in features]
@@ -42,13 +38,6 @@ def weighted_profile(df: DataFrame, group: Sequence[str], features: Sequence[str
     return out.withColumn("feature_coverage", sum((F.col(c).isNotNull().cast("int") for c in cells), F.lit(0)) / float(len(cells)))
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def single_projection(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """A row as the profile of a group of one: mean, p25 and p75 are its values, the deviation is 0."""
     x = {f"{s}__{f}": F.col(f) for s in ("mean", "p25", "p75") for f in features} | {f"std__{f}": F.lit(0.0) for f in features}

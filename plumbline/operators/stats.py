@@ -1,8 +1,8 @@
 """Statistics by group given back to rows: robust and plain z-scores, shrinkage, ranks, calibrated 0-10 scores.
 
 A statistic is one aggregation with map-side combine, joined back to the rows null-safely (a null key is a group of
-its own unless stated).  Spark broadcasts the statistics where they are small by its own size check; a hot group
-never gathers in one task, as it would in a window without an order.
+its own unless stated).  Statistics are written before they are joined, so a chain of them keeps a short plan and
+Spark knows their size when it chooses whether to broadcast them; those of all rows are one row, put in as literals.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import Expr, clip, col, nonzero, soft_clip, tanh_score
+from plumbline.sources.scratch import materialise
 
 MAD_TO_SIGMA = 1.4826
 
@@ -24,9 +25,10 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column],
     """
     aggs = [c.alias(n) for n, c in stats.items()]
     if not keys:
-        return df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
+        row = df.agg(*aggs).first()
+        return df.withColumns({n: F.lit(row[n]) if row[n] is not None else F.lit(None).cast("double") for n in stats})
     names = [f"_key_{i}" for i in range(len(keys))]
-    by = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*aggs)
+    by = materialise(df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*aggs))
     cond = None
     for k, n in zip(keys, names):
         one = df[k].eqNullSafe(by[n]) if null_group else df[k] == by[n]
@@ -140,22 +142,37 @@ def shrink_by_volume(df: DataFrame, values: Mapping[str, str], volume: str, keys
     return df.drop("_m", "_k", "_k_all", *[f"_avg_{o}" for o in values])
 
 
-def percentile_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), scale: float = 1.0, least: int = 1) -> DataFrame:
+def percentile_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), scale: float = 1.0, least: int = 1, split: bool | None = None) -> DataFrame:
     """Average rank over the number of values, times ``scale``; null where x is, or the group has under ``least`` values.
 
-    Ranks come from the counts of distinct values, summed along their order, so ties cost one row and a group's
-    running sum is over its distinct values.
+    Within keys the ranks are windows: one exchange serves all columns ranked by the same keys.  Over all rows, or with
+    ``split`` (for groups too large for a task), ranks come from the counts of distinct values, summed along their
+    order and joined back by value.
     """
+    if keys and not split:
+        w = Window.partitionBy(*keys)
+        n = F.count(value).over(w)
+        # the mean of the first and the last place that equal values share
+        place = (F.rank().over(w.orderBy(F.asc_nulls_last(value))) + n + 1 - F.rank().over(w.orderBy(F.desc_nulls_last(value)))) / 2.0
+        return df.withColumn(out, F.when(F.col(value).isNotNull() & (n >= least), place / n * scale))
+    return _join_ranks(df, _ranks(df, value, keys, scale, least), value, out, keys)
+
+
+def _ranks(df: DataFrame, value: str, keys: Sequence[str], scale: float, least: int) -> DataFrame:
     names = [f"_key_{i}" for i in range(len(keys))]
     counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
     upto, all_ = _running(counts, names, "_x", "_c")
     ranks = upto.withColumn("_rank", (F.col("_upto") - F.col("_c") + 1 + F.col("_upto")) / 2.0)
     ranks = ranks if all_ is None else ranks.crossJoin(F.broadcast(all_))
-    ranks = ranks.select(*names, "_x", F.when(F.col("_all") >= least, F.col("_rank") / F.col("_all") * scale).alias(out))
+    return materialise(ranks.select(*names, "_x", F.when(F.col("_all") >= least, F.col("_rank") / F.col("_all") * scale).alias("_pct")))
+
+
+def _join_ranks(df: DataFrame, ranks: DataFrame, value: str, out: str, keys: Sequence[str]) -> DataFrame:
+    names = [f"_key_{i}" for i in range(len(keys))]
     cond = df[value] == ranks["_x"]
     for k, n in zip(keys, names):
         cond = cond & df[k].eqNullSafe(ranks[n])
-    return df.join(ranks, cond, "left").drop("_x", *names)
+    return df.join(ranks.withColumnRenamed("_pct", out), cond, "left").drop("_x", *names)
 
 
 def _running(counts: DataFrame, keys: Sequence[str], order: str, n: str, slices: int = 256) -> tuple[DataFrame, DataFrame | None]:
@@ -173,10 +190,20 @@ def _running(counts: DataFrame, keys: Sequence[str], order: str, n: str, slices:
     return upto, counts.agg(F.sum(n).alias("_all"))
 
 
+def hierarchical_percentiles(df: DataFrame, values: Mapping[str, str], levels: Sequence[Sequence[str]], least: int = 8, empty: float = 50.0) -> DataFrame:
+    """For each output name -> column the percentile rank (0-100) in the first of ``levels`` (key lists) with ``least``
+    values, else over all rows, else ``empty``.
+    """
+    overall = {o: _ranks(df, x, (), 100.0, 2) for o, x in values.items()}
+    for o, x in values.items():
+        for i, keys in enumerate(levels):
+            df = percentile_ranks(df, x, f"_p{i}_{o}", keys, 100.0, least)
+    for o, x in values.items():
+        df = _join_ranks(df, overall[o], x, f"_all_{o}", ())
+    tries = {o: [*[f"_p{i}_{o}" for i in range(len(levels))], f"_all_{o}"] for o in values}
+    return df.withColumns({o: F.coalesce(*t, F.lit(float(empty))) for o, t in tries.items()}).drop(*[c for t in tries.values() for c in t])
+
+
 def hierarchical_percentile(df: DataFrame, value: str, out: str, levels: Sequence[Sequence[str]], least: int = 8, empty: float = 50.0) -> DataFrame:
-    """Percentile rank (0-100) in the first of ``levels`` (key lists) with ``least`` values, else over all rows, else ``empty``."""
-    tries = []
-    for i, keys in enumerate([*levels, ()]):
-        df = percentile_ranks(df, value, f"_p{i}", keys, 100.0, least if keys else 2)
-        tries.append(f"_p{i}")
-    return df.withColumn(out, F.coalesce(*tries, F.lit(float(empty)))).drop(*tries)
+    """:func:`hierarchical_percentiles` of one column."""
+    return hierarchical_percentiles(df, {out: value}, levels, least, empty)
