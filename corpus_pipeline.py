@@ -21,10 +21,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles at 0.8, the one with the smallest id stays."""
-    groups = jaccard.shingle_join(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept_id"])).select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of documents linked by 5-word shingles at 0.8, the one with the smallest id stays, once.
+
+    Documents without an id stay, equal texts once.
+    """
+    first = jaccard.shingle_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(first, docs["doc_id"] == first["kept_id"]).select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS).dropDuplicates(["text"]))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

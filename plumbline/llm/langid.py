@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.wordhash import flat_bytes
+from plumbline.llm.wordhash import by_bytes, flat_bytes
 
 #: Byte classes of the trees: the 63 most frequent training bytes have one each, class 0 holds the others.
 CLASSES = 64
@@ -51,7 +51,7 @@ def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, "text"):
         for lang in pc.unique(batch.column("lang")):
             flat, off = _padded(batch.column("text").filter(pc.equal(batch.column("lang"), lang)))
             b = flat.astype(np.int64)
@@ -172,7 +172,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: PPM | None, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, text):
             texts = batch.column(batch.schema.names.index(text)).cast(pa.large_string())
             known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             n = len(texts)

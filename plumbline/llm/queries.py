@@ -67,7 +67,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write(token_files.encode(docs, tokenizer("word_bpe_49k.json")), path)
+    token_files.write_documents(docs, tokenizer("word_bpe_49k.json"), path)
     return token_files.layout(token_files.read(spark, path))
 
 

@@ -77,15 +77,25 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "te
     return out.withColumnRenamed("id", record)
 
 
-def write(tokens: DataFrame, path: str, record: str = "doc_id", stripe_mb: int = 16, files: int | None = None) -> None:
+def write_documents(docs: DataFrame, tokenizer: str, path: str, end: int | None = 2, text: str = "text", record: str = "doc_id", stripe_mb: int = 16, files: int | None = None) -> None:
+    """:func:`encode` and :func:`write` in one: texts are dealt into ranges of ids before they are encoded, so finding
+    the ranges doesn't encode anything."""
+    ranged = docs.select(record, text)
+    ranged = ranged.repartitionByRange(files, record) if files else ranged.repartitionByRange(record)
+    write(encode(ranged, tokenizer, end, text, record), path, record, stripe_mb, ranged=True)
+
+
+def write(tokens: DataFrame, path: str, record: str = "doc_id", stripe_mb: int = 16, files: int | None = None, ranged: bool = False) -> None:
     """Write ``record``, ``tokens`` as ORC in ascending order of ids, over all files by name (null ids first).
 
-    Rows with equal ids go to one file, ordered by their tokens.  An empty table gives no data files.
+    Rows with equal ids go to one file, ordered by their tokens.  An empty table gives no data files.  ``ranged`` says
+    that the partitions hold ascending ranges of ids already.
     """
-    ranged = tokens.select(record, "tokens")
-    ranged = ranged.repartitionByRange(files, record) if files else ranged.repartitionByRange(record)
+    rows = tokens.select(record, "tokens")
+    if not ranged:
+        rows = rows.repartitionByRange(files, record) if files else rows.repartitionByRange(record)
     (
-        ranged.sortWithinPartitions(record, "tokens")
+        rows.sortWithinPartitions(record, "tokens")
         .write.option("orc.bloom.filter.columns", record)
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", "1000")
