@@ -159,12 +159,16 @@ def percentile_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] =
 
 
 def _ranks(df: DataFrame, value: str, keys: Sequence[str], scale: float, least: int) -> DataFrame:
+    """:func:`_all_ranks` of one column, whose keys stand before the value in place of a feature."""
     names = [f"_key_{i}" for i in range(len(keys))]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    upto, all_ = _running(counts, names, "_x", "_c")
-    ranks = upto.withColumn("_rank", (F.col("_upto") - F.col("_c") + 1 + F.col("_upto")) / 2.0)
-    ranks = ranks if all_ is None else ranks.crossJoin(F.broadcast(all_))
-    return materialise(ranks.select(*names, "_x", F.when(F.col("_all") >= least, F.col("_rank") / F.col("_all") * scale).alias("_pct")))
+    rows = df.where(F.col(value).isNotNull()).select(F.lit("").alias("_f"), *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).alias("_x"))
+    return materialise(_placed(rows, ["_f", *names], scale, least).drop("_f"))
+
+
+def _all_ranks(df: DataFrame, values: Sequence[str], scale: float, least: int) -> DataFrame:
+    """Ranks of each column's values over all rows: ``_f`` (the column), ``_x``, ``_pct``, by one pass for all columns."""
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("_f"), F.col(x).cast("double").alias("_x")) for x in values])).alias("r")
+    return materialise(_placed(df.select(cells).select("r.*").where("_x is not null"), ["_f"], scale, least))
 
 
 def _join_ranks(df: DataFrame, ranks: DataFrame, value: str, out: str, keys: Sequence[str]) -> DataFrame:
@@ -175,31 +179,44 @@ def _join_ranks(df: DataFrame, ranks: DataFrame, value: str, out: str, keys: Seq
     return df.join(ranks.withColumnRenamed("_pct", out), cond, "left").drop("_x", *names)
 
 
-def _running(counts: DataFrame, keys: Sequence[str], order: str, n: str, slices: int = 256) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``_upto`` (running sum of ``n``) and ``_all`` by keys; without keys the order is cut into ranges first."""
-    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if keys:
-        w = Window.partitionBy(*keys)
-        return counts.withColumns({"_upto": F.sum(n).over(frame(w.orderBy(order))), "_all": F.sum(n).over(w)}), None
-    # approximate quantiles only place the cuts; sums are exact whatever the cuts
-    cuts = counts.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000).alias("_cuts"))
-    cut = counts.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    sums = cut.groupBy("_slice").agg(F.sum(n).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a slice
-    own = cut.withColumn("_own", F.sum(n).over(frame(Window.partitionBy("_slice").orderBy(order))))
-    upto = own.join(F.broadcast(sums.select("_slice", "_before")), "_slice").withColumn("_upto", F.col("_before") + F.col("_own")).drop("_slice", "_before", "_own")
-    return upto, counts.agg(F.sum(n).alias("_all"))
+def _placed(rows: DataFrame, keys: Sequence[str], scale: float, least: int, slices: int = 256) -> DataFrame:
+    """``keys``, ``_x`` and ``_pct`` from the counts of distinct values, summed along their order.
+
+    The order of each key's values is cut into slices at approximate quantiles; these only place the cuts, sums are
+    exact whatever they are.
+    """
+    counts = rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    same = lambda a, b: _both([a[k].eqNullSafe(b[f"_b{k}"]) for k in keys])
+    renamed = lambda t: t.select(*[F.col(k).alias(f"_b{k}") for k in keys], *[c for c in t.columns if c not in keys])
+    cuts = renamed(counts.groupBy(*keys).agg(F.percentile_approx("_x", [i / slices for i in range(1, slices)], 10_000).alias("_cuts")))
+    cut = counts.join(cuts, same(counts, cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).select(*keys, "_x", "_c", "_slice")
+    w = Window.partitionBy(*keys)
+    sums = cut.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_s"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_s").over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_s").over(w)}).drop("_s")  # a row a slice
+    sums = renamed(sums.withColumnRenamed("_slice", "_bslice"))
+    own = cut.withColumn("_own", F.sum("_c").over(Window.partitionBy(*keys, "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = own.join(sums, same(own, sums) & (own["_slice"] == sums["_bslice"]))
+    rank = F.col("_before") + F.col("_own") - (F.col("_c") - 1) / 2.0
+    return placed.select(*keys, "_x", F.when(F.col("_all") >= least, rank / F.col("_all") * scale).alias("_pct"))
+
+
+def _both(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def hierarchical_percentiles(df: DataFrame, values: Mapping[str, str], levels: Sequence[Sequence[str]], least: int = 8, empty: float = 50.0) -> DataFrame:
     """For each output name -> column the percentile rank (0-100) in the first of ``levels`` (key lists) with ``least``
     values, else over all rows, else ``empty``.
     """
-    overall = {o: _ranks(df, x, (), 100.0, 2) for o, x in values.items()}
+    overall = _all_ranks(df, list(values.values()), 100.0, 2)
     for o, x in values.items():
         for i, keys in enumerate(levels):
             df = percentile_ranks(df, x, f"_p{i}_{o}", keys, 100.0, least)
     for o, x in values.items():
-        df = _join_ranks(df, overall[o], x, f"_all_{o}", ())
+        df = _join_ranks(df, overall.where(F.col("_f") == x).drop("_f"), x, f"_all_{o}", ())
     tries = {o: [*[f"_p{i}_{o}" for i in range(len(levels))], f"_all_{o}"] for o in values}
     return df.withColumns({o: F.coalesce(*t, F.lit(float(empty))) for o, t in tries.items()}).drop(*[c for t in tries.values() for c in t])
 
