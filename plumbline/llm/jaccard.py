@@ -20,8 +20,10 @@ from plumbline.llm.common import components, partitions, scratch
 from plumbline.llm.packing import binaries, buckets_for, flat, pack, unpack
 from plumbline.llm.wordhash import by_bytes, mix, windows, words_of
 
-#: Each frequency class of the global order is cut by the top bits of the hash into so many fragments.
-_CUTS = 4
+#: The global order is cut into so many fragments: n-grams in 2-3, 4-7 and so on classes; the last holds the rest.
+_FRAGMENTS = 4
+#: Rounds in which every class meets one lead before all pairs are tried that are still apart.
+_ROUNDS = 4
 
 
 def _sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -127,7 +129,7 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
             who, grams, level = who[use], grams[use], np.log2(freqs[use]).astype(np.int32)
             order = np.lexsort((grams, level, who))
             who, grams, level = who[order], grams[order], level[order]
-            fragment = level * _CUTS + (grams >> np.uint64(62)).astype(np.int32)
+            fragment = np.minimum(level, _FRAGMENTS)
             at = np.flatnonzero(fit)
             lo, hi = np.searchsorted(who, at), np.searchsorted(who, at, side="right")
             rows = []
@@ -169,21 +171,30 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
         summed = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
-    # first every class meets one other in each of its prefix n-grams: as many pairs as postings at most
-    sized = posts.withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))))
-    leads = sized.groupBy("gram", "z").agg(F.min("class").alias("b"))
-    stars = sized.join(leads, ["gram", "z"]).where("class <> b").select(F.col("class").alias("a"), "b").distinct()
-    links = scratch(verified(stars), "links")
-    found = scratch(components(links), "components")
+    # First, rounds in which every class meets one lead: of the leads of its prefix n-grams, that which most of them
+    # have.  Leads and size ranges change by round, and classes in one component don't meet again, so a large group of
+    # near copies comes together by about as many pairs as it has classes.
+    every, found = None, None
+    for r in range(_ROUNDS):
+        state = posts.withColumn("component", F.col("class")) if found is None else posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        state = state.withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 0.5 * (r % 2)))
+        leads = state.groupBy("gram", "z").agg(F.min_by(F.struct(F.col("class").alias("b"), F.col("component").alias("cb")), F.xxhash64("class", F.lit(r))).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        votes = state.join(leads, ["gram", "z"]).where("component <> lead.cb").groupBy(F.col("class").alias("a"), F.col("lead.b").alias("b")).agg(F.count(F.lit(1)).alias("v"))
+        stars = scratch(votes.groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b")), "stars")
+        if stars.isEmpty():
+            break
+        new = scratch(verified(stars), "links", stars.count())
+        every = new if every is None else every.unionByName(new)
+        found = scratch(components(every), "components", 2 * every.count())
     # then all pairs of an n-gram's classes that aren't in one component yet
-    grouped = posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    grouped = posts.withColumn("component", F.col("class")) if found is None else posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = grouped.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
     grouped = scratch(grouped.join(open_, "gram"), "open")
     one, two = (grouped.select("gram", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
     cross = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
     more = scratch(verified(cross), "links")
-    if not more.isEmpty():
-        found = scratch(components(links.unionByName(more)), "components")
+    if found is None or not more.isEmpty():
+        found = scratch(components(more if every is None else every.unionByName(more)), "components")
     # back to documents: the class's smallest id, then the component's
     classes = sets.where("class is not null").groupBy("class").agg(F.min("id").alias("class_id"))
     classes = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
