@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.exprs import Expr, clip, col, nonzero, ranked
+from plumbline.functions.exprs import Expr, clean_number, clip, col, nonzero, ranked
+from plumbline.functions.names import leaks
 from plumbline.operators.stats import median, quantile, with_stats
 
 
 def stack(df: DataFrame, names: Sequence[str], fields: Sequence[str], name: str = "feature_name", keep: Sequence[str] = ()) -> DataFrame:
     """Turn one wide row of columns ``{field}__{name}`` into a row for each name."""
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias(name), *[F.col(f"{f}__{n}").alias(f) for f in fields]) for n in names])).alias("r")
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias(name), *[F.col(f"`{f}__{n}`").alias(f) for f in fields]) for n in names])).alias("r")
     return df.select(*keep, rows).select(*keep, "r.*")
 
 
@@ -206,10 +207,22 @@ def table_counts(tables: Mapping[str, DataFrame | None]) -> DataFrame:
     return out
 
 
-def feature_audit(df: DataFrame, columns: Sequence[str], excluded: Mapping[str, str], least_values: int = 2) -> DataFrame:
-    """``feature_name``, ``selected``, ``usable_count``, ``unique_count``, ``reason`` for each column."""
-    aggs = [c for f in columns for c in (F.count(f).alias(f"n__{f}"), F.count_distinct(f).alias(f"u__{f}"))]
-    t = stack(df.agg(*aggs), columns, ["n", "u"])
-    why = F.create_map(*[x for k, v in excluded.items() for x in (F.lit(k), F.lit(v))]) if excluded else F.create_map().cast("map<string,string>")
-    reason = F.coalesce(F.try_element_at(why, F.col("feature_name")), F.when(F.col("n") == 0, "all_missing"), F.when(F.col("u") < least_values, "constant"), F.lit("selected"))
-    return t.select("feature_name", (reason == "selected").cast("int").alias("selected"), F.col("n").alias("usable_count"), F.col("u").alias("unique_count"), reason.alias("reason"))
+#: Why a column is or isn't a feature.
+LEAKAGE, UNUSABLE, USABLE = "manual_required_non_style_or_leakage_exclusion", "non_numeric_or_constant", "numeric_variable"
+
+
+def feature_audit(df: DataFrame, columns: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
+    """``feature_name``, ``selected``, ``usable_count``, ``unique_count``, ``reason`` for each column, as a number."""
+    numbers = df.select(*[clean_number(f"`{c}`").alias(c) for c in columns])
+    aggs = [c for f in columns for c in (F.count(f"`{f}`").alias(f"n__{f}"), F.count_distinct(F.col(f"`{f}`")).alias(f"u__{f}"))]
+    t = stack(numbers.agg(*aggs), columns, ["n", "u"])
+    reason = F.when(F.col("feature_name").isin(list(excluded)), LEAKAGE).when(F.col("u") <= 1, UNUSABLE).otherwise(USABLE)
+    return t.select("feature_name", (reason == USABLE).cast("int").alias("selected"), F.col("n").alias("usable_count"), F.col("u").alias("unique_count"), reason.alias("reason"))
+
+
+def select_features(df: DataFrame, identifiers: Sequence[str]) -> tuple[list[str], DataFrame]:
+    """Columns that are usable numbers, neither identifiers nor leaks, and the audit of all but the identifiers."""
+    columns = [c for c in df.columns if c not in identifiers]
+    audit = feature_audit(df, columns, [c for c in columns if leaks(c)])
+    chosen = {r["feature_name"] for r in audit.where("selected = 1").select("feature_name").collect()}  # a row a column
+    return [c for c in columns if c in chosen], audit

@@ -152,9 +152,9 @@ def table_counts(t):
     return profiles.table_counts({"orders": t("orders"), "customer": t("customer"), "absent": None})
 
 
-@query("feature_audit", "WITH " + _LINES + ", f AS (" + _union([f"SELECT '{f}' AS feature_name, count({f}) AS n, count(DISTINCT {f}) AS u FROM l" for f in _ALL]) + ") SELECT feature_name, CASE WHEN feature_name <> 'tax' AND n > 0 AND u > 1 THEN 1 ELSE 0 END AS selected, n AS usable_count, u AS unique_count, CASE WHEN feature_name = 'tax' THEN 'leakage' WHEN n = 0 THEN 'all_missing' WHEN u < 2 THEN 'constant' ELSE 'selected' END AS reason FROM f")
+@query("feature_audit", "WITH " + _LINES + ", f AS (" + _union([f"SELECT '{f}' AS feature_name, count({f}) AS n, count(DISTINCT {f}) AS u FROM l" for f in _ALL]) + ") SELECT feature_name, CASE WHEN feature_name <> 'tax' AND n > 0 AND u > 1 THEN 1 ELSE 0 END AS selected, n AS usable_count, u AS unique_count, CASE WHEN feature_name = 'tax' THEN 'manual_required_non_style_or_leakage_exclusion' WHEN u < 2 THEN 'non_numeric_or_constant' ELSE 'numeric_variable' END AS reason FROM f")
 def feature_audit(t):
-    return profiles.feature_audit(lines(t), _ALL, {"tax": "leakage"})
+    return profiles.feature_audit(lines(t), _ALL, ["tax"])
 
 
 _D = ["f0", "f1", "f2", "f3"]
