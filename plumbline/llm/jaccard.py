@@ -108,7 +108,7 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
 
     shared = packed.groupBy("bucket").applyInArrow(shared_only, "class long, n long, grams binary, freqs binary")
     segment = T.StructType([T.StructField("f", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(segment))])
+    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("alone", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(segment))])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by class: order each class's shared shingles and keep those that can have a partner."""
@@ -139,7 +139,7 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
                 prefix = max(0, int(size[i] - need[i]) + 1 - alone)
                 f = fragment[a:b]
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(f)) + 1, [b - a]])
-                rows.append({"class": int(cls[edge[i]]), "n": int(size[i]), "prefix": signed[a : a + prefix], "segments": [{"f": int(f[s]), "grams": signed[a + s : a + e]} for s, e in zip(cut[:-1], cut[1:], strict=True)]})
+                rows.append({"class": int(cls[edge[i]]), "n": int(size[i]), "alone": alone, "prefix": signed[a : a + prefix], "segments": [{"f": int(f[s]), "grams": signed[a + s : a + e]} for s, e in zip(cut[:-1], cut[1:], strict=True)]})
             from pyspark.sql.pandas.types import to_arrow_schema
 
             return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
@@ -159,7 +159,8 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
             yield settle(held)
 
     able = scratch(shared.repartition("class").sortWithinPartitions("class").mapInArrow(candidates, schema), "candidates")
-    posts = able.select(F.explode("prefix").alias("gram"), "class", "n")
+    # an n-gram's place in its set's order: those that occur nowhere else come first
+    posts = able.select(F.posexplode("prefix").alias("at", "gram"), "class", "n", "alone").select("gram", "class", "n", (F.col("alone") + F.col("at")).alias("at"))
     again = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     posts = scratch(posts.join(again.select("gram"), "gram"), "posts")
     segments = able.select("class", "n", F.explode("segments").alias("s")).select("class", "n", F.col("s.f").alias("f"), F.col("s.grams").alias("grams"))
@@ -171,6 +172,9 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
         summed = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
+    # Of the first n-gram that two sets share, the overlap is no more than what either set has from there on; at later
+    # ones that bound is lower still, so pairs that fall short everywhere aren't links.
+    enough = lambda n, at, other: (100 + percent) * (F.col(n) - F.col(at)) >= percent * (F.col(n) + F.col(other))
     # First, rounds in which every class meets one lead: of the leads of its prefix n-grams, that which most of them
     # have.  Leads and size ranges change by round, and classes in one component don't meet again, so a large group of
     # near copies comes together by about as many pairs as it has classes.
@@ -178,8 +182,8 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
     for r in range(_ROUNDS):
         state = posts.withColumn("component", F.col("class")) if found is None else posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         state = state.withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 0.5 * (r % 2)))
-        leads = state.groupBy("gram", "z").agg(F.min_by(F.struct(F.col("class").alias("b"), F.col("component").alias("cb")), F.xxhash64("class", F.lit(r))).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        votes = state.join(leads, ["gram", "z"]).where("component <> lead.cb").groupBy(F.col("class").alias("a"), F.col("lead.b").alias("b")).agg(F.count(F.lit(1)).alias("v"))
+        leads = state.groupBy("gram", "z").agg(F.min_by(F.struct(F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("atb")), F.xxhash64("class", F.lit(r))).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        votes = state.join(leads, ["gram", "z"]).where((F.col("component") != F.col("lead.cb")) & enough("n", "at", "lead.nb") & enough("lead.nb", "lead.atb", "n")).groupBy(F.col("class").alias("a"), F.col("lead.b").alias("b")).agg(F.count(F.lit(1)).alias("v"))
         stars = scratch(votes.groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b")), "stars")
         if stars.isEmpty():
             break
@@ -190,8 +194,8 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
     grouped = posts.withColumn("component", F.col("class")) if found is None else posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = grouped.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
     grouped = scratch(grouped.join(open_, "gram"), "open")
-    one, two = (grouped.select("gram", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
-    cross = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    one, two = (grouped.select("gram", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
+    cross = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough("na", "ata", "nb") & enough("nb", "atb", "na")).select("a", "b").distinct()
     more = scratch(verified(cross), "links")
     if found is None or not more.isEmpty():
         found = scratch(components(more if every is None else every.unionByName(more)), "components")
