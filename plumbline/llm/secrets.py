@@ -110,9 +110,9 @@ def trigram_query(pattern: str, most: int = 6) -> Query:
 
 def build_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings ``gram``, ``k1``, ``k2``, ``rec``: the texts that have each trigram, copies once with their smallest record."""
-    low = F.lower("t")
-    have = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in trigrams]))
-    return texts.select("k1", "k2", "rec", F.explode(have).alias("gram")).groupBy("gram", "k1", "k2").agg(F.min("rec").alias("rec"))
+    low = texts.select("k1", "k2", "rec", F.lower("t").alias("low"))
+    have = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in trigrams]))
+    return low.select("k1", "k2", "rec", F.explode(have).alias("gram")).groupBy("gram", "k1", "k2").agg(F.min("rec").alias("rec"))
 
 
 def intersect(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
@@ -187,7 +187,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
     named = F.transform("s", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     spans = spans.select(F.col("k1").alias("_s_1"), F.col("k2").alias("_s_2"), named.alias("secrets"))
     keyed = docs.select("*", keys["k1"].alias("_s_k1"), keys["k2"].alias("_s_k2"))
-    joined = keyed.join(spans, (F.col("_s_k1") == F.col("_s_1")) & (F.col("_s_k2") == F.col("_s_2")) & F.col(text).isNotNull(), "left")
+    joined = keyed.join(spans, (F.col("_s_k1") == F.col("_s_1")) & (F.col("_s_k2") == F.col("_s_2")), "left")  # reads no text unless asked to
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return joined.select(*docs.columns, F.coalesce("secrets", none).alias("secrets"))
 
