@@ -177,7 +177,8 @@ def spans(docs: DataFrame, text: str = "text", record: str = "doc_id", window: i
     stop = F.when(F.col("ends") | F.col("nxt").isNull(), F.col("at")).when(F.col("nxt.edge").isNull(), F.col("nxt.at")).otherwise(F.col("nxt.at") - 1)
     paths = scratch(paths.select("edge", "id", "print", F.col("at").alias("start"), (stop - F.col("at") + 1).alias("length")), "paths")
     place = F.struct("id", "print", "start")
-    source = paths.groupBy("edge").agg(F.min(place).alias("source"), F.min("length").alias("shared"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    # written, so that the join below has its own exchange and Spark can split an edge with very many places
+    source = scratch(paths.groupBy("edge").agg(F.min(place).alias("source"), F.min("length").alias("shared"), F.count(F.lit(1)).alias("places")).where("places > 1"), "sources", paths.count())
     later = paths.join(source, "edge").where(place != F.col("source"))
     # all places of a path have one length; the shortest is what all of them surely share
     out = later.select("id", "print", "start", (F.col("start") + F.least("length", "shared") + window - 1).alias("end"))
