@@ -23,32 +23,45 @@ _LONG = 64
 
 
 class _Encoder:
-    """Token ids of texts, remembering short space-separated pieces; needs a tokenizer for which the ids of a text
-    are those of its pieces in turn (one that drops white space before it merges)."""
+    """Token ids of texts (little-endian 32-bit integers), remembering short space-separated pieces; needs a tokenizer
+    for which the ids of a text are those of its lower-cased pieces in turn (one that drops white space and case before
+    it merges)."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
         self.most = most
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]  # bytes are split at ASCII white space only
-        new = list({w for ws in pieces for w in ws if w not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        pieces = [t.lower().split() for t in texts]  # of bytes: ASCII letters and white space only
+        known = self.known
+        new = list({w for ws in pieces for w in ws if w not in known})
+        if len(known) + len(new) > self.most:
+            known.clear()
             new = list({w for ws in pieces for w in ws})
-        fresh = {}
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
+        for lo in range(0, len(new), 5_000):
+            part = new[lo : lo + 5_000]
             for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                (self.known if len(w) <= _LONG else fresh)[w] = np.array(e.ids, dtype=np.int32)
-        known = self.known
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate([known[w] if w in known else fresh[w] for w in ws]) if ws else empty for ws in pieces]
+                known[w] = np.array(e.ids, dtype="<i4").tobytes()
+        out = [b"".join(map(known.__getitem__, ws)) for ws in pieces]
+        for w in new:
+            if len(w) > _LONG:
+                del known[w]
+        return out
+
+
+_OPEN: dict[str, _Encoder] = {}
+
+
+def _opened(path: str) -> _Encoder:
+    """One a worker."""
+    if path not in _OPEN:
+        _OPEN[path] = _Encoder(path)
+    return _OPEN[path]
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "text", record: str = "doc_id", chunk: int = 1 << 20) -> DataFrame:
@@ -58,8 +71,8 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(tokenizer)
-        tail = np.array([] if end is None else [end], dtype=np.int32)
+        encoder = _opened(tokenizer)
+        tail = b"" if end is None else np.array([end], dtype="<i4").tobytes()
         for batch in batches:
             lo = 0
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
@@ -68,9 +81,9 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "te
             for hi in [*edges, len(texts)]:
                 if hi == lo:
                     continue
-                ids = [np.concatenate([x, tail]) for x in encoder(texts.slice(lo, hi - lo).to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=["id", "tokens"])
+                ids = [x + tail for x in encoder(texts.slice(lo, hi - lo).to_pylist())]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))], names=["id", "tokens"])
                 lo = hi
 
     out = docs.select(F.col(record).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]))
