@@ -143,6 +143,23 @@ def test_silhouette(spark):
     near(out, [1 - 1 / 10.5, 1 - 1 / 9.5, 1 - 1 / 9.5, 1 - 1 / 10.5, 0.0])
 
 
+def test_silhouette_of_every_row(spark):
+    r = np.random.default_rng(5)
+    xs = r.integers(0, 12, (2600, 3)).astype(float)
+    c = r.integers(0, 3, 2600)
+    data = [(i, int(k), *map(float, x)) for i, (k, x) in enumerate(zip(c, xs))] + [(9000, None, 1.0, 1.0, 1.0), (9001, 0, None, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "id long, c int, x double, y double, z double").withColumn("one", F.lit("a"))
+    out = cluster.silhouettes(df, "id", ["c", "one"], ["x", "y", "z"], block=500).orderBy("id").collect()
+    assert [x["id"] for x in out] == [x[0] for x in data] and [x["c"] for x in out] == [x[1] for x in data]
+    d = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(2))
+    n = np.array([(c == k).sum() + (k == 0) for k in range(3)])  # 9001 counts, without distances
+    s = np.stack([d[:, c == k].sum(1) for k in range(3)], 1)
+    a, b = s[np.arange(2600), c] / (n[c] - 1), np.where(np.arange(3) == c[:, None], np.inf, s / n).min(1)
+    near([x["silhouette_c"] for x in out], [*((b - a) / np.maximum(a, b)).tolist(), None, None])
+    assert {x["silhouette_one"] for x in out} == {None} and {x["one"] for x in out} == {"a"}
+    assert cluster.silhouette(df, "id", "c", ["x", "y", "z"]).count() == 2602 and cluster.silhouette(df.limit(0), "id", "c", ["x"]).count() == 0
+
+
 def test_splits(spark):
     df = spark.range(2000).withColumns({"season": F.concat((2010 + F.col("id") % 5).cast("string"), F.lit("/2099")), "player_id": F.col("id") % 700, "league": F.concat(F.lit("l"), F.col("id") % 4)})
     out = splits.time_split(df, "season", "id", year=None)
