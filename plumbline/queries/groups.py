@@ -160,21 +160,28 @@ def feature_audit(t):
 _D = ["f0", "f1", "f2", "f3"]
 
 
-@query(
-    "cluster_summary",
-    f"""
-WITH c AS (SELECT label, count(*) AS team_count, {", ".join(f"avg(embedding[{i + 1}]::DOUBLE) * 100 AS f{i}" for i in range(4))} FROM embeddings GROUP BY label),
-o AS (SELECT *, list_sort([{", ".join(f"{{'k': -f{i}, 'i': {i}, 'n': 'f{i}', 'v': f{i}}}" for i in range(4))}]) AS o FROM c)
+def _summaries(suffix: str, dims: list[str]) -> None:
+    """Clusters of labels by the first ``len(dims)`` components."""
+
+    @query(
+        f"cluster_summary{suffix}",
+        f"""
+WITH c AS (SELECT label, count(*) AS team_count, {", ".join(f"avg(embedding[{i + 1}]::DOUBLE) * 100 AS f{i}" for i in range(len(dims)))} FROM embeddings GROUP BY label),
+o AS (SELECT *, list_sort([{", ".join(f"{{'k': -f{i}, 'i': {i}, 'n': 'f{i}', 'v': f{i}}}" for i in range(len(dims)))}]) AS o FROM c)
 SELECT label, team_count, array_to_string(list_transform(o[:3], lambda e: 'high ' || e.n), ' / ') || ' | ' || array_to_string(list_transform(o[-2:], lambda e: 'low ' || e.n), ' / ') AS cluster_label,
-  array_to_string(list_transform(o[:3], lambda e: e.n || '=' || printf('%.1f', e.v)), '; ') AS top_dimensions, array_to_string(list_transform(o[-2:], lambda e: e.n || '=' || printf('%.1f', e.v)), '; ') AS low_dimensions, {", ".join(f"{sr(f'f{i}')} AS avg_f{i}" for i in range(4))} FROM o
+  array_to_string(list_transform(o[:3], lambda e: e.n || '=' || printf('%.1f', e.v)), '; ') AS top_dimensions, array_to_string(list_transform(o[-2:], lambda e: e.n || '=' || printf('%.1f', e.v)), '; ') AS low_dimensions, {", ".join(f"{sr(f'f{i}')} AS avg_f{i}" for i in range(len(dims)))} FROM o
 """,
-)
-def cluster_summary(t):
-    e = t("embeddings").select("label", *[(F.col("embedding")[i].cast("double") * 100).alias(d) for i, d in enumerate(_D)])
-    out = profiles.cluster_summary(e.withColumnRenamed("label", "cluster"), "cluster", _D)
-    means = e.groupBy("label").agg(*[r6(F.avg(d)).alias(f"avg_{d}") for d in _D])
-    out = out.drop(*[f"avg_{d}" for d in _D]).withColumnRenamed("label", "cluster_label")
-    return out.join(means, F.col("cluster").eqNullSafe(F.col("label"))).drop("cluster")
+    )
+    def cluster_summary(t):
+        e = t("embeddings").select("label", *[(F.col("embedding")[i].cast("double") * 100).alias(d) for i, d in enumerate(dims)])
+        out = profiles.cluster_summary(e.withColumnRenamed("label", "cluster"), "cluster", dims)
+        means = e.groupBy("label").agg(*[r6(F.avg(d)).alias(f"avg_{d}") for d in dims])
+        out = out.drop(*[f"avg_{d}" for d in dims]).withColumnRenamed("label", "cluster_label")
+        return out.join(means, F.col("cluster").eqNullSafe(F.col("label"))).drop("cluster")
+
+
+_summaries("", _D)
+_summaries("_whole", [f"f{i}" for i in range(64)])
 
 
 @query("overlap", "WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) < 1996), b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) >= 1996) SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a JOIN b USING (o_custkey)) AS n_both")
