@@ -24,8 +24,10 @@ _LONG = 64
 
 class _Encoder:
     """Token ids of texts (little-endian 32-bit integers), remembering short space-separated pieces; needs a tokenizer
-    for which the ids of a text are those of its lower-cased pieces in turn (one that drops white space and case before
-    it merges)."""
+    for which the ids of a text are those of its pieces in turn (one that drops white space and case before it merges).
+
+    Pieces keep their case, as special tokens and composed forms are looked for before it is dropped; only ASCII texts
+    that spell no special token in any case are lower-cased, which finds more of their pieces remembered."""
 
     def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
@@ -33,11 +35,18 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.most = most
 
+    def _plain(self, text: bytes) -> bytes:
+        if not text.isascii():
+            return text
+        low = text.lower()
+        return text if any(s in low for s in self.special) else low
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.lower().split() for t in texts]  # of bytes: ASCII letters and white space only
+        pieces = [self._plain(t).split() for t in texts]  # of bytes: ASCII white space only
         known = self.known
         new = list({w for ws in pieces for w in ws if w not in known})
         if len(known) + len(new) > self.most:

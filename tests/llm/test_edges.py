@@ -153,6 +153,18 @@ def test_token_files(spark, docs, none, rows, tmp_path):
     assert token_files.layout(token_files.read(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_tokens_of_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    own.no_truncation()
+    own.no_padding()
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> B", "x<|StartOfText|>", "Some <|startoftext|>Words", "Plain ASCII Text\x0bhere", "\u0130 \u00c9t\u00e9 E\u0301t\u00e9", *[f"{c} A{c}b {c.lower()}" for c in ("H\u0331", "T\u0308", "W\u030a", "J\u030c")]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["tokens"] for r in token_files.encode(df, tokenizer("word_bpe_49k.json"), None).collect()}
+    assert got == {i: own.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_jaccard(docs, none, rows):
     got = jaccard.shingle_join(docs).collect()
     assert len(got) == len(rows)
