@@ -63,8 +63,10 @@ def _of_strings(strings: set[str]) -> Query:
     return either(*[frozenset([frozenset(s[i : i + 3] for i in range(len(s) - 2))]) for s in strings])
 
 
-def _walk(items, runs: set[str], query: Query) -> tuple[set[str], Query]:
-    """What follows ``runs`` (spellings of the literal text so far) and ``query`` (asked before them)."""
+def _walk(items, runs: set[str], query: Query) -> tuple[set[str], Query, bool]:
+    """What follows ``runs`` (spellings of the literal text so far) and ``query`` (asked before them), and whether the
+    runs spell all of ``items``; where they don't, no literal may be joined to them on either side."""
+    whole = True
     for op, arg in items:
         name, spelt = str(op), None
         if name == "LITERAL":
@@ -72,29 +74,33 @@ def _walk(items, runs: set[str], query: Query) -> tuple[set[str], Query]:
         elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
             spelt = {chr(c).lower() for _, c in arg}
         elif name == "SUBPATTERN":
-            spelt, inner = _walk(arg[3], {""}, ANYTHING)
-            if inner != ANYTHING:
-                query, spelt = both(query, both(inner, _of_strings(spelt))), None
+            inner, asked, exact = _walk(arg[3], {""}, ANYTHING)
+            if exact:
+                spelt = inner
+            else:
+                query = both(query, both(asked, _of_strings(inner)))
         elif name == "BRANCH":
             ways = [_walk(x, {""}, ANYTHING) for x in arg[1]]
-            if all(q == ANYTHING for _, q in ways):
-                spelt = set().union(*[s for s, _ in ways])
+            if all(exact for *_, exact in ways):
+                spelt = set().union(*[s for s, *_ in ways])
             else:
-                query = both(query, either(*[both(q, _of_strings(s)) for s, q in ways]))
-        elif name == "MAX_REPEAT":
+                query = both(query, either(*[both(q, _of_strings(s)) for s, q, _ in ways]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             low, high, inner_items = arg
-            inner, asked = _walk(inner_items, {""}, ANYTHING)
-            if (low, high) == (0, 1) and asked == ANYTHING:
+            inner, asked, exact = _walk(inner_items, {""}, ANYTHING)
+            if (low, high) == (0, 1) and exact:
                 spelt = inner | {""}
-            elif low and asked != ANYTHING:
-                query = both(query, asked)
+            elif low:
+                query = both(query, both(asked, _of_strings(inner)))
         elif name == "AT":
             continue
         if spelt is None or len(runs) * len(spelt) > _RUNS:
             query, runs = both(query, _of_strings(runs)), {""}  # the run ends here
-            spelt = {""}
+            if spelt is not None:
+                query = both(query, _of_strings(spelt))
+            spelt, whole = {""}, False
         runs = {a + b for a in runs for b in spelt}
-    return runs, query
+    return runs, query, whole
 
 
 def trigram_query(pattern: str, most: int = 6) -> Query:
@@ -102,7 +108,7 @@ def trigram_query(pattern: str, most: int = 6) -> Query:
 
     Long sets are thinned to ``most`` trigrams: fewer are asked for, so nothing is lost.
     """
-    runs, query = _walk(re._parser.parse(pattern), {""}, ANYTHING)
+    runs, query, _ = _walk(re._parser.parse(pattern), {""}, ANYTHING)
     query = both(query, _of_strings(runs))
     thin = lambda s: frozenset(sorted(s)[:: -(-len(s) // most)]) if s else s
     return either(*[frozenset([thin(s)]) for s in query])

@@ -227,6 +227,14 @@ def test_trigram_queries_hold_for_matches(pattern, text):
     assert any(all(g in low for g in s) for s in secrets.trigram_query(pattern))
 
 
+@pytest.mark.parametrize("pattern,text", [(r"ab[0-9]?cd", "ab5cd"), (r"secret([0-9]+)key", "secret12key"), (r"abc(x|[0-9])def", "abc7def"), (r"abc(?:de+)?fgh", "abcdeefgh"), (r"abc.{2}?def", "abcxydef"), (r"(ab[cd]|x\d)ef", "x1ef"), (r"abc(?:d[0-9]|(e))fgh", "abcd1fgh")])
+def test_literals_beside_inexact_parts(spark, pattern, text):
+    rule = secrets.Rule("own", pattern)
+    df = spark.createDataFrame([(1, f"some {text} here"), (2, "none")], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"]] for r in secrets.find_secrets(df, [rule]).collect()}
+    assert found == {1: [(5, 5 + len(text))], 2: []}
+
+
 def test_other_secrets(spark):
     texts = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, "xoxb-1234567890-abc", "AIza" + "b" * 35, "sk_live_" + "c" * 24, "eyJ" + "d" * 12 + ".eyJ" + "e" * 12 + "." + "f" * 12]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
