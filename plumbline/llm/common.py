@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import materialise, release
+
 #: A word, as a regular expression for Spark and DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
-_PATHS: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Rows of a few numbers that one task writes at most, where a table's number of rows is known beforehand.
 _ROWS_A_FILE = 500_000
 
@@ -32,36 +18,15 @@ def scratch(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
 
     ``rows``, where known (an upper bound will do), keeps a small table from being written as many tiny files.
     """
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // _ROWS_A_FILE)))
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _PATHS.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release(df: DataFrame) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        for spark, path in [x for x in _PATHS if x[1].split(":", 1)[-1].lstrip("/") == f.split(":", 1)[-1].lstrip("/")]:
-            _PATHS.remove((spark, path))
-            _remove(spark, path)
-
-
-@atexit.register
-def _release_all() -> None:
-    for spark, path in _PATHS:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session is gone: its cluster clears the folder
-            return
+    return materialise(df, None if rows is None else max(1, -(-rows // _ROWS_A_FILE)), tag)
+
+
+def spare(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

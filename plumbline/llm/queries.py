@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, jaccard, langid, mixing, neardup_vectors, quality, secrets, sharding, substrings, token_files
-from plumbline.llm.common import scratch, scratch_root
+from plumbline.sources.scratch import new_path, remove
 
 
 def tokenizer(name: str) -> str:
@@ -63,12 +63,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    docs = table(spark, sf_dir, "documents")
-    path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write_documents(docs, tokenizer("word_bpe_49k.json"), path)
-    return token_files.layout(token_files.read(spark, path))
+    path = new_path(spark, "tokens")
+    token_files.write_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path)
+    found = token_files.layout(token_files.read(spark, path))  # reads the files once, now
+    remove(path)
+    return found
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
