@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, jaccard, langid, mixing, secrets
-from plumbline.llm.common import scratch_root
 from plumbline.llm.queries import tokenizer, training_rows
+from plumbline.sources.scratch import materialise, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,9 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{scratch_root(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        out = materialise(stage(spark, docs, sf_dir), tag=f"pipeline-{name}")
+        if docs is not read:
+            release(docs)
+        docs = out
     return docs
