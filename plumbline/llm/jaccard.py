@@ -1,9 +1,9 @@
 """Similarity join on word n-grams by vertical partitioning.
 
-The n-grams of all documents have one global order: by frequency class (powers of two), then by hash.  Documents
-whose n-grams almost all occur nowhere else can't have a partner and leave early.  Candidates share an n-gram of
-their prefixes.  The global order is cut into fragments; the part of a document's set that falls in a fragment is a
-segment; overlaps of pairs are counted segment by segment, apart from each other, and summed by pair.
+The n-grams of all documents have one global order: by frequency class (powers of two), then by hash.  The order is
+cut into fragments; the part of a document's set that falls in a fragment is a segment.  Candidates arise within
+fragments, where segments share an n-gram of the sets' prefixes; the overlaps of a pair are counted segment by
+segment, apart from each other, and summed by pair.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,19 @@ from plumbline.llm.wordhash import by_bytes, mix, windows, words_of
 
 #: The global order is cut into so many fragments: n-grams in 2-3, 4-7 and so on classes; the last holds the rest.
 _FRAGMENTS = 4
-#: Rounds in which every class meets one lead before all pairs are tried that are still apart.
-_ROUNDS = 4
+#: At most so many rounds in which classes meet a few leads of their n-grams, before all pairs are tried that are apart;
+#: it only decides how many pairs are tried, not which links are found.
+_ROUNDS = 6
+#: Leads of an n-gram and size range in a round.
+_LEADS = 8
+#: A set's parity map has so many bits (64 in a long).
+_BITS = 1024
+#: Classes of a hot n-gram meet in blocks of about so many.
+_BLOCK = 2048
+#: An n-gram of more than one in so many documents is counted as hot beforehand.
+_HOT = 512
+#: Grams of a group of classes in memory at once.
+_SLICE = 131_072
 
 
 def _sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -53,24 +64,41 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
     100 * intersection >= percent * union; ``component_id`` is the smallest id reachable by links.  Equal sets are
     one class (``class_id``, null for an empty set) and are compared once, so copies cost nothing.  Pairs within one
     known component aren't verified again.  A null id takes part by its text and is never a ``component_id`` unless
-    alone.  Repeated rows are copies.  An empty table gives no rows.
+    alone.  Repeated rows are copies.  A very long text is hashed whole, alone in its batch: memory follows the longest
+    text.  Other columns aren't looked at, so their names can't clash.  An empty table gives no rows.
+
+    N-grams that a slice of documents shows to be in more than one of ``_HOT`` of them are counted by sums beforehand and
+    sent to their classes directly, so no task gets all classes of such an n-gram; there are at most _HOT times the
+    mean set size of them, which is what is broadcast.
 
     Shingles and classes are 64-bit hashes: among n different ones about n*n/2**65 pairs are confused.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(record).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Facts of documents, and rows without a size for the n-grams that many documents of a slice have."""
         for batch in by_bytes(batches, "text"):
             sets, prints = _sets(batch.column("text"), words)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(prints.view(np.int64), mask=n == 0)], names=["id", "n", "class"])
-
-    sets = scratch(src.mapInArrow(describe, "id long, n long, class long"), "sets")
-    total = sets.agg(F.sum("n")).first()[0] or 0
+            own = np.unique(prints, return_index=True)[1]
+            if len(own):
+                grams, counts = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
+                often = counts >= max(8, len(own) / _HOT)
+                k = int(often.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(counts[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.array(grams[often].view(np.int64))], names=["id", "n", "class"])
+
+    facts = scratch(src.mapInArrow(described, "id long, n long, class long"), "sets")
+    sets = facts.where("n is not null")
+    total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    often = facts.where("n is null").groupBy(F.col("class").alias("gram")).agg(F.sum("id").alias("c")).where(F.col("c") > rows / (2 * _HOT))
+    often = sorted((r["gram"], r["c"]) for r in often.collect())
+    hot = spark.sparkContext.broadcast((np.array([g for g, _ in often], dtype=np.int64).view(np.uint64), np.array([c for _, c in often], dtype=np.uint32)))
     buckets = buckets_for(total, partitions(spark))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = np.sort(hot.value[0])
         seen: set[int] = set()  # classes this task has sent; forgetting them would only send a copy twice
         for batch in by_bytes(batches, "text"):
             sets, prints = _sets(batch.column("text"), words)
@@ -81,89 +109,86 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
                     new.append(i)
             if len(seen) > 500_000:
                 seen.clear()
-            if new:
-                sizes = np.array([len(sets[i]) for i in new], dtype=np.uint32)
-                yield pack(np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), sizes), buckets, {"class": prints[new], "n": sizes}, {})
+            if not new:
+                continue
+            sizes = np.array([len(sets[i]) for i in new], dtype=np.uint32)
+            values, who = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), sizes)
+            known = np.isin(values, grams)
+            headers = {"class": prints[new], "n": sizes}
+            # values by their own buckets, hot ones by those of their classes, which are numbered after these
+            for take, key, base in ((~known, values, 0), (known, prints[new][who], buckets)):
+                if take.any():
+                    yield pack(values[take], who[take], buckets, headers, {}, key[take], base)
 
     packed = src.mapInArrow(emit, "bucket int, value binary, count binary, class binary, n binary")
 
-    def shared_only(table: pa.Table) -> pa.Table:
-        """Of one bucket, the shingles that two or more classes have, with that number, by class."""
+    def shared_only(key: tuple, table: pa.Table) -> pa.Table:
+        """Of one bucket, the shingles that two or more classes have, with that number, by buckets of classes."""
         x = unpack(table, {"class": "<u8", "n": "<u4"}, {})
         order = np.lexsort((x["class"], x["value"]))
         v, c, n = x["value"][order], x["class"][order], x["n"][order]
         first = np.ones(len(v), dtype=bool)
         first[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
         v, c, n = v[first], c[first], n[first]
-        edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-        sizes = np.diff(np.concatenate([edge, [len(v)]]))
-        freq = np.repeat(sizes, sizes).astype(np.uint32)
+        if key[0].as_py() < buckets:
+            edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+            sizes = np.diff(np.concatenate([edge, [len(v)]]))
+            freq = np.repeat(sizes, sizes).astype(np.uint32)
+        else:
+            grams, counts = hot.value
+            order = np.argsort(grams)
+            freq = counts[order][np.searchsorted(grams[order], v)]
         keep = freq > 1
         v, c, n, freq = v[keep], c[keep], n[keep], freq[keep]
         order = np.argsort(c, kind="stable")
         v, c, n, freq = v[order], c[order], n[order], freq[order]
         edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        ends = np.concatenate([edge[1:], [len(c)]]) if len(c) else edge
-        return pa.table({"class": pa.array(c[edge].view(np.int64)), "n": pa.array(n[edge].astype(np.int64)), "grams": binaries(v, edge, ends), "freqs": binaries(freq, edge, ends)})
-
-    shared = packed.groupBy("bucket").applyInArrow(shared_only, "class long, n long, grams binary, freqs binary")
-    segment = T.StructType([T.StructField("f", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("alone", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(segment))])
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by class: order each class's shared shingles and keep those that can have a partner."""
-        held: pa.Table | None = None
-
-        def settle(table: pa.Table) -> pa.RecordBatch:
-            cls, n = table.column("class").to_numpy(), table.column("n").to_numpy()
-            counts = np.array([len(x) // 8 for x in table.column("grams").to_pylist()], dtype=np.int64)
-            edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-            number = np.repeat(np.arange(len(edge)), np.diff(np.concatenate([edge, [len(cls)]])))
-            have = np.bincount(number, weights=counts, minlength=len(edge)).astype(np.int64)
-            size = n[edge]
-            need = -(-percent * size // 100)
-            fit = have >= need
-            who = np.repeat(number, counts)
-            grams, freqs = flat(table.column("grams"), "<u8"), flat(table.column("freqs"), "<u4")
-            use = fit[who]
-            who, grams, level = who[use], grams[use], np.log2(freqs[use]).astype(np.int32)
-            order = np.lexsort((grams, level, who))
-            who, grams, level = who[order], grams[order], level[order]
-            fragment = np.minimum(level, _FRAGMENTS)
-            at = np.flatnonzero(fit)
-            lo, hi = np.searchsorted(who, at), np.searchsorted(who, at, side="right")
-            rows = []
-            signed = grams.view(np.int64)
-            for i, a, b in zip(at, lo, hi, strict=True):
-                alone = int(size[i] - have[i])
-                prefix = max(0, int(size[i] - need[i]) + 1 - alone)
-                f = fragment[a:b]
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(f)) + 1, [b - a]])
-                rows.append({"class": int(cls[edge[i]]), "n": int(size[i]), "alone": alone, "prefix": signed[a : a + prefix], "segments": [{"f": int(f[s]), "grams": signed[a + s : a + e]} for s, e in zip(cut[:-1], cut[1:], strict=True)]})
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
-
-        for batch in by_bytes(batches, "grams", 1 << 20):
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            cls = table.column("class").to_numpy()
-            cut = int(np.searchsorted(cls, cls[-1]))  # the last class may go on in the next batch
-            held = table.slice(cut)
-            if cut:
-                yield settle(table.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield settle(held)
-
-    able = scratch(shared.repartition("class").sortWithinPartitions("class").mapInArrow(candidates, schema), "candidates")
-    # an n-gram's place in its set's order: those that occur nowhere else come first
-    posts = able.select(F.posexplode("prefix").alias("at", "gram"), "class", "n", "alone").select("gram", "class", "n", (F.col("alone") + F.col("at")).alias("at"))
-    again = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    posts = scratch(posts.join(again.select("gram"), "gram"), "posts")
+        who = np.repeat(np.arange(len(edge)), np.diff(np.concatenate([edge, [len(c)]]))) if len(c) else edge
+        return pa.Table.from_batches([pack(v, who, buckets, {"class": c[edge], "n": n[edge]}, {"freq": freq}, c)])
+
+    kind = "bucket int, value binary, count binary, class binary, n binary, freq binary"
+    shared = packed.groupBy("bucket").applyInArrow(shared_only, kind)
+    segment = T.StructType([T.StructField("f", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in ("class", "n", "alone", "prefix")], T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(segment))])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Order the shared shingles of a bucket's classes and keep the classes that can have a partner."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        x = unpack(pa.Table.from_batches(batches), {"class": "<u8", "n": "<u4"}, {"freq": "<u4"})
+        level = np.log2(x["freq"]).astype(np.int32)
+        order = np.lexsort((x["value"], level, x["class"]))
+        cls, grams, level, n = x["class"][order], x["value"][order], level[order], x["n"][order].astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
+        ends = np.concatenate([edge[1:], [len(cls)]]) if len(cls) else edge
+        have, size = ends - edge, n[edge]
+        need = -(-percent * size // 100)
+        at = np.flatnonzero(have >= need)
+        fragment, signed = np.minimum(level, _FRAGMENTS), grams.view(np.int64)
+        rows, held = [], 0
+        for i in at.tolist():
+            a, b = int(edge[i]), int(ends[i])
+            alone = int(size[i] - have[i])
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(fragment[a:b])) + 1, [b - a]])
+            parity = np.bincount((grams[a:b] >> np.uint64(40)).astype(np.int64) % _BITS, minlength=_BITS) & 1
+            bits = np.packbits(parity.astype(np.uint8)).view(np.int64)
+            parts = [{"f": int(fragment[a + s]), "at": int(s), "grams": signed[a + s : a + e]} for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            rows.append({"class": int(cls[a].view(np.int64)), "n": int(size[i]), "alone": alone, "prefix": max(0, int(size[i] - need[i]) + 1 - alone), "bits": bits, "segments": parts})
+            held += b - a
+            if held > _SLICE:
+                yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+                rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    able = scratch(shared.groupBy("bucket").applyInArrow(ordered, schema), "candidates")
     segments = able.select("class", "n", F.explode("segments").alias("s")).select("class", "n", F.col("s.f").alias("f"), F.col("s.grams").alias("grams"))
+    # in each fragment, the n-grams of a set's prefix and their places in the set's order: those found nowhere else come first
+    inner = able.select("class", "n", "alone", "prefix", F.explode("segments").alias("s")).where("s.at < prefix")
+    inner = inner.select("class", F.col("s.f").alias("f"), (F.col("alone") + F.col("s.at")).alias("from"), F.posexplode(F.slice("s.grams", F.lit(1), F.col("prefix").cast("int") - F.col("s.at"))).alias("place", "gram"))
+    again = inner.groupBy("f", "gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    posts = inner.join(again.select("f", "gram"), ["f", "gram"]).select("f", "gram", "class", (F.col("from") + F.col("place")).alias("at"))
+    maps = able.select("class", "n", "alone", "bits")
+    posts = scratch(posts.join(maps, "class").select("f", "gram", "class", "at", "n", (F.col("n") - F.col("alone")).alias("m"), *[F.col("bits")[i].alias(f"b{i}") for i in range(_BITS // 64)]), "posts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = segments.select(F.col("class").alias("a"), F.col("n").alias("na"), "f", F.col("grams").alias("ga"))
@@ -172,30 +197,48 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
         summed = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
-    # Of the first n-gram that two sets share, the overlap is no more than what either set has from there on; at later
-    # ones that bound is lower still, so pairs that fall short everywhere aren't links.
-    enough = lambda n, at, other: (100 + percent) * (F.col(n) - F.col(at)) >= percent * (F.col(n) + F.col(other))
-    # First, rounds in which every class meets one lead: of the leads of its prefix n-grams, that which most of them
-    # have.  Leads and size ranges change by round, and classes in one component don't meet again, so a large group of
-    # near copies comes together by about as many pairs as it has classes.
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        """Columns ``class``, ``n`` and so on by the name ``name``, beside the join's keys."""
+        return rows.select(*[F.col(x).alias(name if x == "class" else name + x) if x not in ("f", "gram", "z", "block") else F.col(x) for x in rows.columns])
+
+    def near() -> Column:
+        """Whether ``a`` and ``b`` can reach the threshold: by their sizes, by the places of the n-gram they share (of
+        the first one, the overlap is no more than what either set has from there on; later the bound is lower still)
+        and by their parity maps (the bits in which these differ are at most the n-grams in which the sets do)."""
+        apart = sum((F.bit_count(F.col(f"ab{i}").bitwiseXOR(F.col(f"bb{i}"))) for i in range(1, _BITS // 64)), F.bit_count(F.col("ab0").bitwiseXOR(F.col("bb0"))))
+        enough = lambda most: (100 + percent) * most >= percent * (F.col("an") + F.col("bn"))
+        return (F.col("acomponent") != F.col("bcomponent")) & enough(F.col("an") - F.col("aat")) & enough(F.col("bn") - F.col("bat")) & ((100 + percent) * (F.col("am") + F.col("bm") - apart) >= 2 * percent * (F.col("an") + F.col("bn")))
+
+    def now(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return posts.withColumn("component", F.col("class"))
+        return posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+    # First, rounds in which every class meets a few leads of its n-grams.  Leads and size ranges change by round, and
+    # classes in one component don't meet again, so a large group of near copies comes together by about as many pairs
+    # as it has classes.
     every, found = None, None
     for r in range(_ROUNDS):
-        state = posts.withColumn("component", F.col("class")) if found is None else posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        state = state.withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 0.5 * (r % 2)))
-        leads = state.groupBy("gram", "z").agg(F.min_by(F.struct(F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("atb")), F.xxhash64("class", F.lit(r))).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        votes = state.join(leads, ["gram", "z"]).where((F.col("component") != F.col("lead.cb")) & enough("n", "at", "lead.nb") & enough("lead.nb", "lead.atb", "n")).groupBy(F.col("class").alias("a"), F.col("lead.b").alias("b")).agg(F.count(F.lit(1)).alias("v"))
-        stars = scratch(votes.groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b")), "stars")
-        if stars.isEmpty():
-            break
+        state = now(found).withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 0.5 * (r % 2)))
+        split = state.groupBy("f", "gram", "z").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("f", "gram", "z")
+        state = scratch(state.join(split, ["f", "gram", "z"]), "state")
+        first = Window.partitionBy("f", "gram", "z").orderBy(F.xxhash64("class", F.lit(r)))
+        leads = state.withColumn("k", F.row_number().over(first)).where(F.col("k") <= _LEADS).drop("k")
+        stars = scratch(side(state, "a").join(side(leads, "b"), ["f", "gram", "z"]).where(near()).select("a", "b").distinct(), "stars")
         new = scratch(verified(stars), "links", stars.count())
+        if not (linked := new.count()):
+            break
         every = new if every is None else every.unionByName(new)
         found = scratch(components(every), "components", 2 * every.count())
-    # then all pairs of an n-gram's classes that aren't in one component yet
-    grouped = posts.withColumn("component", F.col("class")) if found is None else posts.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = grouped.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-    grouped = scratch(grouped.join(open_, "gram"), "open")
-    one, two = (grouped.select("gram", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
-    cross = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough("na", "ata", "nb") & enough("nb", "atb", "na")).select("a", "b").distinct()
+        if 10 * linked < found.count():  # what is left apart is mostly so by its texts
+            break
+    # then all pairs of an n-gram's classes that aren't in one component yet, a hot n-gram's by blocks of classes
+    rest = now(found)
+    split = rest.groupBy("f", "gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("f", "gram", F.ceil(F.col("c") / _BLOCK).cast("int").alias("blocks"))
+    rest = scratch(rest.join(split, ["f", "gram"]), "open")
+    one = side(rest.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks"), "a")
+    two = side(rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "b")
+    cross = one.join(two, ["f", "gram", "block"]).where((F.col("a") < F.col("b")) & near()).select("a", "b").distinct()
     more = scratch(verified(cross), "links")
     if found is None or not more.isEmpty():
         found = scratch(components(more if every is None else every.unionByName(more)), "components")

@@ -22,10 +22,11 @@ def binaries(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def pack(values: np.ndarray, docs: np.ndarray, buckets: int, headers: dict[str, np.ndarray], columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+def pack(values: np.ndarray, docs: np.ndarray, buckets: int, headers: dict[str, np.ndarray], columns: dict[str, np.ndarray], keys: np.ndarray | None = None, base: int = 0) -> pa.RecordBatch:
     """One row a bucket: ``bucket``, ``value``, ``count`` (by document), the ``headers`` of those documents
-    (arrays by document number) and the ``columns`` (arrays in parallel with ``values``); ``docs`` ascends."""
-    bucket = ((values >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    (arrays by document number) and the ``columns`` (arrays in parallel with ``values``); ``docs`` ascends.  Buckets are
+    those of the values, or of ``keys`` in parallel with them, numbered from ``base`` on."""
+    bucket = (((values if keys is None else keys) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32) + np.int32(base)
     order = np.argsort(bucket, kind="stable")
     bucket, docs = bucket[order], docs[order]
     edge = np.flatnonzero(np.diff(bucket)) + 1
