@@ -6,8 +6,11 @@ index prunes within a stripe, and the Bloom filter answers point look-ups; each
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,43 +21,58 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import scratch
 
-#: Pieces up to so many bytes are remembered.
+#: Pieces up to so many characters are remembered.
 _LONG = 64
+#: Texts of these characters alone are split as below before they are encoded: ASCII, Latin letters that NFC leaves alone
+#: and that have one lower-case letter each, and common signs, none of which are letters, numbers or spaces.
+_PLAIN = re.compile("[\x00-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u012f\u0131-\u017f\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac]*")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u017f"
+#: Fixed value: the tokenizer's split of lower-case text, over those characters.
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t-\r{_LETTER}0-9]+")
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_SPLITS_ALIKE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Encoder:
-    """Token ids of texts (little-endian 32-bit integers), remembering short space-separated pieces; needs a tokenizer
-    for which the ids of a text are those of its pieces in turn (one that drops white space and case before it merges).
+    """Token ids of texts (little-endian 32-bit integers), remembering short pieces; needs a tokenizer for which the ids
+    of a text are those of its space-separated pieces in turn (one that drops white space before it merges).
 
-    Pieces keep their case, as special tokens and composed forms are looked for before it is dropped; only ASCII texts
-    that spell no special token in any case are lower-cased, which finds more of their pieces remembered."""
+    Where the tokenizer composes, lower-cases and splits as ``_SPLIT`` does, plain texts that spell no special token
+    are split so here, for far fewer different pieces; other texts are cut at ASCII white space only."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.splits = steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": _SPLITS_ALIKE}
+        self.known: dict[str, bytes] = {}
         self.most = most
 
-    def _plain(self, text: bytes) -> bytes:
-        if not text.isascii():
-            return text
-        low = text.lower()
-        return text if any(s in low for s in self.special) else low
+    def _pieces(self, text: str) -> list[str]:
+        if self.splits and _PLAIN.fullmatch(text):
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                return _SPLIT.findall(low)
+        return _SPACES.split(text)
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [self._plain(t).split() for t in texts]  # of bytes: ASCII white space only
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        pieces = [self._pieces(t) for t in texts]
         known = self.known
-        new = list({w for ws in pieces for w in ws if w not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({w for ws in pieces for w in ws})
+        new = [w for w in set().union(*pieces) if w not in known]
+        if len(known) + len(new) > self.most:  # the older half goes, but for what this slice has
+            used = set().union(*pieces)
+            for w in [w for w in islice(known, len(known) // 2) if w not in used]:
+                del known[w]
         for lo in range(0, len(new), 5_000):
             part = new[lo : lo + 5_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype="<i4").tobytes()
         out = [b"".join(map(known.__getitem__, ws)) for ws in pieces]
         for w in new:
@@ -76,7 +94,9 @@ def _opened(path: str) -> _Encoder:
 def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "text", record: str = "doc_id", chunk: int = 1 << 20) -> DataFrame:
     """Rows ``doc_id`` (as ``record`` is named) and ``tokens`` (array of int) with ``end`` appended to each.
 
-    A null text is an empty one.  ``tokenizer`` is the path of a ``tokenizers`` JSON file that every executor has.
+    A null text is an empty one.  ``tokenizer`` is the path of a ``tokenizers`` JSON file that every executor has.  Rows
+    stand alone: repeated rows are coded each, an empty table gives no rows, a very long text is coded whole, alone in
+    its slice, and other columns aren't looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +104,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "te
         tail = b"" if end is None else np.array([end], dtype="<i4").tobytes()
         for batch in batches:
             lo = 0
-            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+            texts = batch.column("text").cast(pa.large_string()).fill_null("")
             sizes = pc.binary_length(texts).to_numpy()
             edges = np.flatnonzero(np.diff(np.cumsum(sizes) // chunk)) + 1
             for hi in [*edges, len(texts)]:
@@ -140,7 +160,8 @@ def read(spark: SparkSession, path: str, record: str = "doc_id", ids: list[int]
 def layout(rows: DataFrame, record: str = "doc_id") -> DataFrame:
     """What :func:`read` gave, as ``record``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
 
-    Each task takes counts and checksums of the rows it reads; totals by file, one small row each, place the files.
+    Each task takes counts and checksums of the rows it reads; totals by file, one small row each, place the files, in
+    the order of their smallest ids (null ids are in the first).  Repeated rows have places one after another.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +173,7 @@ def layout(rows: DataFrame, record: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("file"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc)], names=["id", "file", "n", "crc"])
 
     facts = scratch(rows.select(F.col(record).alias("id"), "file", "tokens").mapInArrow(digest, "id long, file string, n long, crc long"), "layout")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    files = facts.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    before = Window.orderBy(F.desc("nameless"), F.asc_nulls_first("low"), "file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = facts.groupBy("file").agg(F.sum("n").alias("n"), F.min("id").alias("low"), F.bool_or(F.col("id").isNull()).alias("nameless")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("file").orderBy("id", "n", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return facts.withColumn("upto", F.sum("n").over(own)).join(files, "file").select(F.col("id").alias(record), (F.col("base") + F.col("upto") - F.col("n")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
