@@ -1,9 +1,9 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
 The BPE code of a text's prefix ends in one certain token; without it, it is the BPE code of the shorter prefix.  So
-for every prefix one last token is stored: among the tokens that an automaton finds to end there, the one that is
-compatible with the last token of the prefix before it, meaning that BPE leaves the two apart when it merges their
-joint bytes.  Following these back from the end gives the ids.
+for every prefix one last token is stored: among the tokens that the vocabulary's suffix automaton finds to end there,
+the one that is compatible with the last token of the prefix before it, meaning that BPE leaves the two apart when it
+merges their joint bytes.  Following these back from the end gives the ids.
 """
 
 from __future__ import annotations
@@ -29,11 +29,86 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class SuffixAutomaton:
+    """The suffix automaton of a set of words: a state stands for the strings that end at the same places of them.
+
+    ``step`` has the next state by ``state << 8 | byte``, ``link`` the state of the longest suffix that ends at more
+    places, ``length`` the length of a state's longest string, ``word`` the number of the word that this is (or -1)
+    and ``up`` the nearest state along the links that is a word (0: none).
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        from array import array
+
+        step: dict[int, int] = {}
+        link, length, word = array("i", [-1]), array("i", [0]), array("i", [-1])
+        labels = [b""]
+
+        def new(size: int, shown: bytes) -> int:
+            link.append(0)
+            length.append(size)
+            word.append(-1)
+            labels.append(shown)
+            return len(length) - 1
+
+        def clone(at: int, byte: int, old: int) -> int:
+            """Split off ``old`` the strings that ``at`` and its suffixes lead to by ``byte``."""
+            part = new(length[at] + 1, labels[old])
+            for b in labels[old]:
+                step[part << 8 | b] = step[old << 8 | b]
+            link[part], link[old] = link[old], part
+            while at >= 0 and step.get(at << 8 | byte) == old:
+                step[at << 8 | byte] = part
+                at = link[at]
+            return part
+
+        for text, number in words.items():
+            last = 0
+            for byte in text:
+                known = step.get(last << 8 | byte)
+                if known is not None:
+                    last = known if length[known] == length[last] + 1 else clone(last, byte, known)
+                    continue
+                grown, at = new(length[last] + 1, b""), last
+                while at >= 0 and (at << 8 | byte) not in step:
+                    step[at << 8 | byte] = grown
+                    labels[at] += bytes([byte])
+                    at = link[at]
+                if at >= 0:
+                    old = step[at << 8 | byte]
+                    link[grown] = old if length[old] == length[at] + 1 else clone(at, byte, old)
+                last = grown
+            if last:
+                word[last] = number
+        up = array("i", bytes(4 * len(length)))
+        for state in sorted(range(1, len(length)), key=length.__getitem__):
+            up[state] = link[state] if word[link[state]] >= 0 else up[link[state]]
+        self.step, self.link, self.length, self.word, self.up = step, link, length, word, up
+
+    def matches(self, data: bytes) -> Iterator[tuple[int, int, int]]:
+        """(end, length, word) of all places where a word occurs in ``data``, by their ends, longer ones first."""
+        step, link, length, word, up = self.step, self.link, self.length, self.word, self.up
+        state = size = 0
+        for end, byte in enumerate(data, 1):
+            after = step.get(state << 8 | byte)
+            while after is None and state:
+                state = link[state]
+                size = length[state]
+                after = step.get(state << 8 | byte)
+            if after is None:
+                continue
+            state, size = after, size + 1
+            # of a state's strings only the longest can be a word; those of its links are shorter than any of them
+            found = state if size == length[state] and word[state] >= 0 else up[state]
+            while found:
+                yield end, length[found], word[found]
+                found = up[found]
+
+
 class ByteBPE:
-    """Vocabulary, merges and automaton of a byte-level ``tokenizers`` JSON file."""
+    """Vocabulary, merges and suffix automaton of a byte-level ``tokenizers`` JSON file."""
 
     def __init__(self, path: str, most: int = 300_000):
-        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -47,10 +122,7 @@ class ByteBPE:
         self.byte_id = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.automaton = ahocorasick.Automaton()
-        for s, i in vocab.items():
-            self.automaton.add_word(raw(s).decode("latin-1"), (i, len(raw(s))))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton({self.bytes[i]: i for i in vocab.values() if i not in self.added.values()})
         self.pieces = regex.compile(PIECES)
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.apart: dict[int, bool] = {}
@@ -92,12 +164,12 @@ class ByteBPE:
     def encode_piece(self, data: bytes) -> list[int]:
         n = len(data)
         last = [-1] * (n + 1)
-        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
-            if last[end + 1] >= 0:
+        for end, length, token in self.automaton.matches(data):
+            if last[end] >= 0:
                 continue
-            before = end + 1 - length
+            before = end - length
             if (before == 0 or last[before] >= 0 and self.compatible(last[before], token)) and self.reachable(token):
-                last[end + 1] = token
+                last[end] = token
         ids = []
         while n:
             ids.append(last[n])
@@ -171,7 +243,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens``; same-named columns are replaced.
 
     A null text is an empty one and has no ids.  Strings of added tokens in a text are those tokens.  Every row stands
-    alone, so ties, copies and order don't matter; work on a text is linear in its length but for the longest token.
+    alone, so ties, repeated rows and order don't matter and an empty table gives no rows; work on a text is linear in
+    its length but for the longest token, and a very long text is coded whole, alone in its batch.  Columns of any other
+    names pass through.
     """
 
     def columns(texts: list) -> list[pa.Array]:
@@ -183,7 +257,10 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
 
 def decode(docs: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """Add ``decoded``, the text of ``ids`` as :func:`encode` gives them (null: empty)."""
+    """Add ``decoded``, the text of ``ids`` as :func:`encode` gives them (null: empty); a column of that name is replaced.
+
+    Rows stand alone: repeated rows are decoded each, an empty table gives no rows.
+    """
 
     def columns(values: list) -> list[pa.Array]:
         bpe = _opened(tokenizer)
