@@ -20,29 +20,63 @@ from pyspark.sql import types as T
 
 from plumbline.llm.wordhash import by_bytes, flat_bytes
 
-#: Byte classes of the trees: the 63 most frequent training bytes have one each, class 0 holds the others.
-CLASSES = 64
 _PAD = "   "
-_SEGMENT = 1 << 20
-_UNIFORM = float(np.log2(CLASSES))
+#: Language costs of bytes that are held at once.
+_CELLS = 1 << 22
+_UNIFORM = 8.0
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Keys:
+    """Places of whole numbers in a sorted array without repeats, by an open hash table at a quarter of its room."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.int64)
+        self.bits = max(10, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(self.keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several for one slot, one stays
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each of ``keys``; the number of all for those that aren't there."""
+        n = len(self.keys)
+        at = self._home(keys)
+        out = self.slots[at].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.keys[np.minimum(out, n - 1)] != keys)) if n else np.zeros(0, np.int64)
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+            out[open_] = self.slots[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[np.minimum(out[open_], n - 1)] != keys[open_])]
+        out[out < 0] = n
+        return out
 
 
 @dataclass(frozen=True)
 class PPM:
-    """Frozen code lengths in bits; ``L`` languages run along the last axis of the tables.
+    """Frozen code lengths in bits of all 256 byte values; languages run along the last axis of the tables.
 
-    ``escape3[context]`` is the cost of leaving an order-3 context, ``short[context2 byte]`` that of a byte in the
-    contexts of order 2 and less, and ``found`` lists the seen (context, byte) of order 3 with what they cost beyond
-    those two (negative: they are cheaper); ``extra[class]`` is what naming a byte within its class costs.
+    ``triples`` and ``quads`` are the sorted contexts with their byte that some language has.  ``short[triple]`` is what
+    a byte costs in the contexts of order 2 and less, ``escape3[triple]`` leaving the order-3 context; both have a last
+    row of zeros for what isn't there, as has ``delta[quad]``, what a byte costs in its order-3 context beyond those two
+    (negative: it is cheaper).  ``escape2[pair]`` is leaving an order-2 context and ``order1[pair]`` a byte's cost in the
+    contexts of order 1 and 0.
     """
 
     languages: list[str]
-    classes: np.ndarray
-    escape3: np.ndarray
+    triples: np.ndarray
+    quads: np.ndarray
     short: np.ndarray
-    found: np.ndarray
+    escape3: np.ndarray
     delta: np.ndarray
-    extra: np.ndarray
+    escape2: np.ndarray
+    order1: np.ndarray
 
 
 def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,73 +115,73 @@ def train(labelled: DataFrame, max_bytes: int = 1 << 20) -> PPM | None:
     return fit(counts["lang"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
 
 
+def _costs(seen: np.ndarray, context: np.ndarray, contexts: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Method C: what each byte costs that is counted ``seen`` times in its context, or else by ``below`` after an escape;
+    and the escapes of all contexts (0 where nothing was seen)."""
+    total, kinds = np.bincount(context, weights=seen, minlength=contexts), np.bincount(context[seen > 0], minlength=contexts)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+        return np.where(seen > 0, -np.log2(seen / (total + kinds)[context]), escape[context] + below), escape
+
+
 def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PPM | None:
     """The frozen tables for counts ``n`` of byte quadruples ``gram`` (first byte highest) in each ``lang``."""
     if not len(gram):
         return None
     languages = sorted({str(x) for x in lang})
-    byte = np.bincount(gram & 255, weights=n, minlength=256)
-    top = np.argsort(-byte, kind="stable")[: CLASSES - 1]
-    classes = np.zeros(256, dtype=np.uint8)
-    classes[top[byte[top] > 0]] = np.arange(1, 1 + int((byte[top] > 0).sum()), dtype=np.uint8)
-    c = classes.astype(np.int64)
-    code = ((c[gram >> 24] * CLASSES + c[gram >> 16 & 255]) * CLASSES + c[gram >> 8 & 255]) * CLASSES + c[gram & 255]
-    found = np.unique(code)
+    quads = np.unique(gram)
+    triples = np.unique(np.concatenate([quads >> 8, quads & 0xFFFFFF]))
+    last, context = np.searchsorted(triples, quads & 0xFFFFFF), np.searchsorted(triples, quads >> 8)
     m = len(languages)
-    escape3 = np.zeros((CLASSES**3, m), dtype=np.float32)
-    short = np.zeros((CLASSES**3, m), dtype=np.float32)
-    delta = np.zeros((len(found) + 1, m), dtype=np.float32)
+    zeros = lambda rows: np.zeros((rows, m), dtype=np.float32)
+    short, escape3, delta, escape2, order1 = zeros(len(triples) + 1), zeros(len(triples) + 1), zeros(len(quads) + 1), zeros(1 << 16), zeros(1 << 16)
+    pairs = np.arange(1 << 16)
     for i, name in enumerate(languages):
-        own = np.bincount(np.searchsorted(found, code[lang == name]), weights=n[lang == name], minlength=len(found))
-        cost = np.full(CLASSES, _UNIFORM)  # by byte, below the current order
-        for order in range(3):
-            table = np.bincount(found % CLASSES ** (order + 1), weights=own, minlength=CLASSES ** (order + 1)).reshape(-1, CLASSES)
-            total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            below = cost if order == 0 else np.tile(cost.reshape(-1, CLASSES), (CLASSES, 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                cost = np.where(table > 0, -np.log2(table / (total + kinds)), escape + below)
-        short[:, i] = cost.reshape(-1)
-        context = found // CLASSES
-        total, kinds = np.bincount(context, weights=own, minlength=CLASSES**3), np.bincount(context[own > 0], minlength=CLASSES**3)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape3[:, i] = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            direct = -np.log2(own / (total + kinds)[context])
-        delta[:-1, i] = np.where(own > 0, direct - escape3[context, i] - short[found % CLASSES**3, i], 0.0)
-    # class 0 stands for the bytes without a class of their own, each equally likely
-    extra = np.zeros(CLASSES, dtype=np.float32)
-    extra[0] = np.log2(max(1, 256 - (classes > 0).sum()))
-    return PPM(languages, classes, escape3, short, found, delta, extra)
+        own = np.zeros(len(quads))
+        own[np.searchsorted(quads, gram[lang == name])] = n[lang == name]
+        byte = np.bincount(quads & 255, weights=own, minlength=256)
+        cost0, _ = _costs(byte, np.zeros(256, dtype=np.int64), 1, np.full(256, _UNIFORM))
+        cost1, _ = _costs(np.bincount(quads & 0xFFFF, weights=own, minlength=1 << 16), pairs >> 8, 256, cost0[pairs & 255])
+        cost2, leave2 = _costs(np.bincount(last, weights=own, minlength=len(triples)), triples >> 8, 1 << 16, cost1[triples & 0xFFFF])
+        cost3, leave3 = _costs(own, context, len(triples), cost2[last])
+        order1[:, i], escape2[:, i], short[:-1, i], escape3[:-1, i] = cost1, leave2, cost2, leave3
+        delta[:-1, i] = cost3 - (leave3[context] + cost2[last])
+    return PPM(languages, triples, quads, short, escape3, delta, escape2, order1)
 
 
 _OPEN: dict = {}
 
 
-def _index(model: PPM, key: int) -> np.ndarray:
-    """Row of ``delta`` for each quadruple of classes (the last row, of zeros, where it wasn't seen); once a worker."""
+def _index(model: PPM, key: int) -> tuple[Keys, Keys]:
+    """Hash tables of the triples and quadruples; once a worker."""
     if key not in _OPEN:
         _OPEN.clear()
-        rows = np.full(CLASSES**4, len(model.found), dtype=np.int32)
-        rows[model.found] = np.arange(len(model.found), dtype=np.int32)
-        _OPEN[key] = rows
+        _OPEN[key] = Keys(model.triples), Keys(model.quads)
     return _OPEN[key]
 
 
-def code_lengths(model: PPM, index: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def code_lengths(model: PPM, index: tuple[Keys, Keys], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each text under each language, and the number of bytes coded."""
+    triples, quads = index
     flat, off = _padded(texts)
     bits = np.zeros((len(texts), len(model.languages)))
     bounds = np.column_stack([off[:-1], off[:-1] + len(_PAD)]).reshape(-1)  # even places begin padding, odd ones text
-    cls = model.classes[flat].astype(np.int32)
-    for lo in range(0, len(flat), _SEGMENT):
-        hi = min(lo + _SEGMENT, len(flat))
-        head = cls[max(0, lo - 3) : hi]
-        head = np.concatenate([np.zeros(3 - min(lo, 3), np.int32), head])
-        tri = (head[1:-2] * CLASSES + head[2:-1]) * CLASSES + head[3:]
-        context = (head[:-3] * CLASSES + head[1:-2]) * CLASSES + head[2:-1]
-        cost = model.short[tri] + model.escape3[context] + model.delta[index[context * CLASSES + head[3:]]] + model.extra[head[3:]][:, None]
-        a, b = np.searchsorted(bounds, [lo, hi])
-        cuts = np.unique(np.concatenate([[lo], bounds[a:b]]))
+    step = max(1 << 14, _CELLS // len(model.languages))
+    for lo in range(0, len(flat), step):
+        hi = min(lo + step, len(flat))
+        b = flat[max(0, lo - 3) : hi].astype(np.int64)
+        b = np.concatenate([np.zeros(3 - min(lo, 3), np.int64), b])
+        pair = b[:-1] << 8 | b[1:]
+        triple = pair[:-1] << 8 | b[2:]
+        place = triples.find(triple)
+        context, end = place[:-1], place[1:]
+        cost = model.short[end]
+        new = np.flatnonzero(end == len(model.triples))
+        cost[new] = model.escape2[pair[1:-1][new]] + model.order1[pair[2:][new]]
+        cost += model.escape3[context]
+        cost += model.delta[quads.find(triple[:-1] << 8 | b[3:])]
+        a, z = np.searchsorted(bounds, [lo, hi])
+        cuts = np.unique(np.concatenate([[lo], bounds[a:z]]))
         sums = np.add.reduceat(cost, cuts - lo, axis=0, dtype=np.float64)
         at = np.searchsorted(bounds, cuts, side="right") - 1
         text = at % 2 == 1
@@ -161,8 +195,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: PPM | None, text: str
     ``lang_pred`` is the language of the shortest code (ties: the first in order), ``und`` where the text is null or
     has no letter, or nothing was learned.  ``score`` is that language's share of probability when the code lengths
     are scaled to at most ``evidence`` bytes of text (0 for ``und``); ``bits_per_byte`` is its code length per byte
-    (null for ``und``).  The tables that are broadcast have a fixed size besides one row for each quadruple seen in
-    the bounded training sample.  Texts of any length are coded whole, a segment at a time.  An empty table gives none.
+    (null for ``und``).  The tables that are broadcast have a fixed size besides rows for the triples and quadruples of
+    bytes in the bounded training sample (a number a language in each).  Texts of any length are coded whole, a segment
+    at a time.  Rows stand alone, so repeated rows get the same each; other columns pass through.  An empty table gives
+    none.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "bits_per_byte")]
     docs = docs.select(*kept)
