@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import partitions, scratch
+from plumbline.llm.common import partitions, scratch, spare
 from plumbline.llm.packing import binaries, buckets_for, flat, pack, unpack
 from plumbline.llm.wordhash import _POW, by_bytes, mix, windows, words_of
 
@@ -55,25 +55,31 @@ def _minimisers(h: np.ndarray, rows: np.ndarray, window: int, anchor: int) -> tu
     return low, ok, chosen & ok_k
 
 
+def _key(record: str, text: str) -> Column:
+    """What a row is looked up by: its id, or a hash of its text where it has none, so that rows without ids don't meet
+    in one group.  An id may equal another row's hash: prints of word sequences tell rows of one key apart."""
+    return F.coalesce(F.col(record).cast("long"), F.xxhash64(F.col(text).cast("string")))
+
+
 def spans(docs: DataFrame, text: str = "text", record: str = "doc_id", window: int = 20, anchor: int = 10) -> tuple[DataFrame, DataFrame]:
     """Facts and spans to remove.
 
-    Facts: ``id``, ``print`` (of the word sequence; 0 if there are no words), ``n_words``, ``first`` (the smallest id
-    with that sequence) for every row.  Spans: ``id``, ``print``, ``start``, ``end`` (words, end exclusive), which cover
+    Facts: ``id``, ``key`` (:func:`_key`), ``print`` (of the word sequence; 0 if there are no words), ``n_words``, ``first``
+    (the smallest id with that sequence) for every row.  Spans: ``id``, ``print``, ``start``, ``end`` (words, end exclusive), which cover
     each word of a row that is first with its sequence and that lies in a window seen earlier: at a smaller id, or
     before in that row.  Rows that aren't first repeat a whole text, so all their windows are seen earlier.
     Null ids come last in the order; rows equal in id and words are one document; other rows with one id come in the
     order of their prints.  Window hashes have 64 bits: among n different ones about n*n/2**65 pairs are confused.
     """
     spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(record).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(F.coalesce(F.col(record).cast("long"), F.lit(_LAST)).alias("id"), _key(record, text).alias("key"), F.col(text).cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             _, _, h, rows = words_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_prints(h, rows).view(np.int64)), pa.array(np.diff(rows).astype(np.int64))], names=["id", "print", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(_prints(h, rows).view(np.int64)), pa.array(np.diff(rows).astype(np.int64))], names=["id", "key", "print", "n_words"])
 
-    facts = scratch(src.mapInArrow(describe, "id long, print long, n_words long"), "facts")
+    facts = scratch(src.mapInArrow(describe, "id long, key long, print long, n_words long"), "facts")
     firsts = facts.groupBy("print", "n_words").agg(F.min("id").alias("first"))
     facts = scratch(facts.join(firsts, ["print", "n_words"]), "facts")
     total = facts.agg(F.sum("n_words")).first()[0] or 0
@@ -121,8 +127,8 @@ def spans(docs: DataFrame, text: str = "text", record: str = "doc_id", window: i
         return pa.table({"print": pa.array(p[edge].view(np.int64)), "anchors": binaries(v, edge, ends)})
 
     hits = src.mapInArrow(anchors, "bucket int, value binary, count binary, print binary").groupBy("bucket").applyInArrow(repeated, "print long, anchors binary")
-    own = facts.where("id = first").select("id", "print").distinct()
-    hits = scratch(hits.join(own, "print").groupBy("id").agg(F.collect_list("anchors").alias("anchors"), F.collect_set("print").alias("prints")), "hits")
+    own = facts.where("id = first").select("key", "print").distinct()
+    hits = scratch(hits.join(own, "print").groupBy("key").agg(F.collect_list("anchors").alias("anchors"), F.collect_set("print").alias("prints")), "hits")
     many = buckets_for(total // 4, partitions(spark))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +174,7 @@ def spans(docs: DataFrame, text: str = "text", record: str = "doc_id", window: i
         parts = [part(head, 0, v, True, False), part(onward, 1, x["next"], True, False), part(tail, 0, v, False, True)]
         return pa.table({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
 
-    packed = src.where(F.length("text") > 0).join(hits, "id").mapInArrow(edges, "bucket int, value binary, count binary, id binary, print binary, prev binary, next binary, start binary")
+    packed = src.where(F.length("text") > 0).join(hits, "key").mapInArrow(edges, "bucket int, value binary, count binary, id binary, print binary, prev binary, next binary, start binary")
     found = packed.groupBy("bucket").applyInArrow(marks, "id long, print long, at long, edge long, begins boolean, ends boolean")
     found = found.groupBy("id", "print", "at").agg(F.max(F.when(F.col("begins"), F.col("edge"))).alias("edge"), F.max("ends").alias("ends"))
     along = Window.partitionBy("id", "print").orderBy("at")
@@ -189,14 +195,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", record: str = "doc_id",
     """Add ``n_words``, ``n_removed``, ``kept_text`` and ``removed`` (array of word spans) to ``docs``.
 
     ``kept_text`` holds the words that no earlier window covers, joined by single spaces (a null or empty text: none).
-    Columns of these names are replaced.  An empty table gives no rows.  See :func:`spans` for order and ties.
+    Columns of these names are replaced, columns of any other names pass through.  Repeated rows (equal in id and words)
+    are one document and are cut alike.  A very long text is worked on whole, alone in its batch.  An empty table gives
+    no rows.  See :func:`spans` for order, ties and null ids.
     """
     own = {"n_words", "n_removed", "kept_text", "removed"}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in own])
     facts, found = spans(docs, text, record, window, anchor)
-    copies = facts.where((F.col("id") > F.col("first")) & (F.col("n_words") >= window)).select("id", "print", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")).distinct()
-    cut = found.unionByName(copies).groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("print", "start", "end"))).alias("_cut"))
-    joined = docs.withColumn("_id", F.coalesce(F.col(record).cast("long"), F.lit(_LAST))).join(cut, "_id", "left").drop("_id")
+    copies = facts.where((F.col("id") > F.col("first")) & (F.col("n_words") >= window)).select("key", "print", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")).distinct()
+    nameless = facts.where((F.col("id") == _LAST) & (F.col("first") == _LAST)).select("key", "print").distinct()
+    found = found.where(F.col("id") < _LAST).select(F.col("id").alias("key"), "print", "start", "end").unionByName(found.where(F.col("id") == _LAST).join(nameless, "print").select("key", "print", "start", "end"))
+    key, cuts_ = spare(docs.columns, "key"), spare(docs.columns, "cut")
+    cut = found.unionByName(copies).groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("print", "start", "end"))).alias(cuts_))
+    joined = docs.withColumn(key, _key(record, text)).join(cut, key, "left").drop(key)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(span))])
 
@@ -204,7 +215,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", record: str = "doc_id",
         for batch in by_bytes(batches, text):
             at = batch.schema.names.index(text)
             texts = batch.column(at).cast(pa.large_string())
-            cuts = batch.column(batch.schema.names.index("_cut")).to_pylist()
+            cuts = batch.column(batch.schema.names.index(cuts_)).to_pylist()
             prints: dict[int, int] = {}
             touched = np.array([c is not None for c in cuts], dtype=bool)
             if touched.any():
@@ -227,7 +238,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", record: str = "doc_id",
                 kept.append(b" ".join(ws).decode())
                 removed.append([{"start": a, "end": b} for a, b in merged])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            rest = [c for c, name in zip(batch.columns, batch.schema.names) if name != "_cut"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, kind)], names=[*[x for x in batch.schema.names if x != "_cut"], "n_words", "n_removed", "kept_text", "removed"])
+            rest = [c for c, name in zip(batch.columns, batch.schema.names) if name != cuts_]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, kind)], names=[*[x for x in batch.schema.names if x != cuts_], "n_words", "n_removed", "kept_text", "removed"])
 
     return joined.mapInArrow(apply, schema)
