@@ -54,16 +54,17 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts of ``STATISTICS`` and the ratios of ``FEATURES``; same-named columns are replaced.
 
     A null or empty text has no words and zeros throughout.  Work is per row and linear (n log n for repeats) in the
-    text's length, so long texts need no more than an array of their words.
+    text's length, so long texts need no more than an array of their words.  Repeated rows get equal statistics each, an
+    empty table gives no rows, columns of any other names pass through.
     """
     own = {*STATISTICS, *FEATURES}
     kept = [c for c in docs.columns if c.lower() not in own]
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
     count = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
-    d = docs.select(*kept, t.alias("_t"))
+    d = docs.select(F.struct(*kept).alias("row"), t.alias("_t"))  # all that isn't ours is in row: names can't clash
     d = d.select(
-        *kept,
+        "row",
         F.transform(F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_w"),
         F.length(F.translate("_t", _SPACES, "")).cast("long").alias("word_chars"),
         count("#*$%&|<>").cast("long").alias("n_symbols"),
@@ -94,7 +95,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "distinct_share": F.col("_kinds") / words,
         "end_share": F.col("_ends") / words,
     }
-    return d.withColumns(ratios).select(*kept, *STATISTICS, *[x for x in FEATURES if x not in STATISTICS])
+    return d.withColumns(ratios).select("row.*", *STATISTICS, *[x for x in FEATURES if x not in STATISTICS])
 
 
 def learn(labelled: DataFrame, target: str = "target", bounds: int = 12, max_literals: int = 3, max_rules: int = 6, least_cover: int = 8, least_precision: float = 0.8) -> tuple[list[Rule], bool]:
@@ -163,7 +164,8 @@ def quality(docs: DataFrame, labels: DataFrame, record: str = "doc_id", label: s
     """Statistics, ``base_failed`` and ``kept`` for all documents; the list is learned on those that ``labels`` has.
 
     ``labels`` has ``record`` and a 0/1 ``label`` (null: not used).  A document labelled more than once counts once
-    for each label; without any label every document that passes the base rules is kept.
+    for each label, repeated rows each; a null id has no label.  Without any label every document that passes the base
+    rules is kept.  Columns named as what is added are replaced, all others pass through.  An empty table gives no rows.
     """
     stats = scratch(statistics(docs, text), "statistics")
     known = labels.select(F.col(record).alias("_id"), (F.col(label).cast("int") == 1).alias("target")).where("_id is not null")

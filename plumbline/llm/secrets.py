@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import spare
+
 #: A query: any of these sets of trigrams, all of a set; one empty set asks for nothing.
 Query = frozenset
 ANYTHING: Query = frozenset([frozenset()])
@@ -160,8 +162,9 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
 
     Spans come by start, then in the order of the rules; leftmost matches of a rule don't overlap, and matches whose
     group is too short are dropped after that.  A null or empty text has none.  Equal texts are indexed and verified
-    once; equal ids don't matter.  A column ``secrets`` is replaced; names beginning with ``_s_`` are the operator's.
-    Texts are known by 96 bits of hash.  An empty table gives no rows.
+    once, however many rows have them; equal ids don't matter, nor do ties.  A very long text is searched whole.  A column
+    ``secrets`` is replaced, columns of any other names pass through.  Texts are known by 96 bits of hash.  An empty
+    table gives no rows.
     """
     rules = RULES if rules is None else rules
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -191,9 +194,9 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
     names = F.array(*[F.lit(r.kind) for r in rules])
     spans = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("s"))
     named = F.transform("s", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    spans = spans.select(F.col("k1").alias("_s_1"), F.col("k2").alias("_s_2"), named.alias("secrets"))
-    keyed = docs.select("*", keys["k1"].alias("_s_k1"), keys["k2"].alias("_s_k2"))
-    joined = keyed.join(spans, (F.col("_s_k1") == F.col("_s_1")) & (F.col("_s_k2") == F.col("_s_2")), "left")  # reads no text unless asked to
+    one, two = spare(docs.columns, "k1"), spare(docs.columns, "k2")
+    spans = spans.select(F.col("k1").alias(one), F.col("k2").alias(two), named.alias("secrets"))
+    joined = docs.select("*", keys["k1"].alias(one), keys["k2"].alias(two)).join(spans, [one, two], "left")  # reads no text unless asked to
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return joined.select(*docs.columns, F.coalesce("secrets", none).alias("secrets"))
 
