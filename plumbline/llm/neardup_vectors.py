@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from collections.abc import Iterator
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
     empty, zero or holds null or non-finite components links with nothing, nor does a row with a null id.  Equal
     vectors of a label are one class with a weight, so copies cost nothing; ``n_links`` counts the other rows.  Rows
     that share an id are one node.  No pair below the threshold is linked; a pair at it is missed with the chance
-    that :func:`plan_tables` states, a closer one less often.  Crowded buckets are cut into blocks that meet in
-    pairs, so no task holds more than two blocks.  An empty table gives no rows.
+    that :func:`plan_tables` states, a closer one less often.  A table gets a vector as 16-bit numbers with a bound of
+    what they are off by; pairs for which that leaves a doubt are decided by the vectors themselves.  Crowded buckets
+    are cut into blocks that meet in pairs, so no task holds more than two blocks; as every link is counted, work on a
+    crowd of really near vectors is that of its pairs.  Other columns aren't looked at.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(record).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("string").alias("label"))
@@ -40,6 +43,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
     classes = scratch(v.where("ok").groupBy("label", "x").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("w")), "classes")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(n, cosine)
+    width = 1 if bits <= 8 else 2 if bits <= 16 else 4
 
     def sign_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -58,14 +62,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
                 signs = (x @ planes[d] > 0).reshape(len(at), tables, bits)
-                hashes = (signs * (1 << np.arange(bits))).sum(2).astype(np.int32)
+                hashes = (signs * (1 << np.arange(bits))).sum(2).astype(f"<u{width}")
+                step = np.abs(x).max(1, keepdims=True) / 32767
+                short = np.rint(x / step).astype("<i2")
+                off = np.sqrt(((x - short * step) ** 2).sum(1))
                 binary = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 own = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([own.column("label"), pa.array(np.full(len(at), d, np.int32)), own.column("c"), own.column("w"), binary(x), binary(hashes)], names=["label", "dim", "c", "w", "unit", "hashes"])
+                yield pa.RecordBatch.from_arrays([own.column("label"), pa.array(np.full(len(at), d, np.int32)), own.column("c"), own.column("w"), binary(x), binary(short), pa.array(step[:, 0]), pa.array(off), binary(hashes)], names=["label", "dim", "c", "w", "unit", "short", "step", "off", "hashes"])
 
-    hashed = scratch(classes.mapInArrow(sign_hashes, "label string, dim int, c long, w long, unit binary, hashes binary"), "hashes")
-    # one row for each table: the hash of table t is its t-th little-endian integer
-    dealt = hashed.select("*", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).withColumn("h", F.expr("substring(hashes, t * 4 + 1, 4)"))
+    hashed = scratch(classes.mapInArrow(sign_hashes, "label string, dim int, c long, w long, unit binary, short binary, step double, off double, hashes binary"), "hashes")
+    # one row for each table: the hash of table t is its t-th little-endian integer; of the vector only 16-bit numbers go
+    dealt = hashed.drop("unit").select("*", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).withColumn("h", F.expr(f"substring(hashes, t * {width} + 1, {width})"))
     bucket = ["label", "dim", "t", "h"]
     crowds = dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     cells = (
@@ -73,27 +80,36 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
         .withColumn("blocks", F.ceil(F.col("crowd") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "w", "unit", "hashes")
+        .select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "w", "short", "step", "off", "hashes")
     )
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t = int(key[2])
         rows = rows.sort_values("c", kind="stable")
-        x = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(len(rows), -1)
-        hashes = np.frombuffer(b"".join(rows["hashes"]), dtype=np.int32).reshape(len(rows), -1)
+        x = np.frombuffer(b"".join(rows["short"]), dtype="<i2").reshape(len(rows), -1) * rows["step"].to_numpy()[:, None]
+        off = rows["off"].to_numpy() + 1e-12
+        hashes = np.frombuffer(b"".join(rows["hashes"]), dtype=f"<u{width}").reshape(len(rows), -1)
         ids, weight, own = rows["c"].to_numpy(), rows["w"].to_numpy(), rows["own"].to_numpy()
         i, j = int(key[4]), int(key[5])
         a = np.flatnonzero(own == i)
         b = a if i == j else np.flatnonzero(own == j)
-        p, q = np.nonzero(x[a] @ x[b].T >= cosine)
+        near = x[a] @ x[b].T
+        # what the short numbers can be off by, for a pair at most
+        doubt = off[a][:, None] + off[b] * (1 + off[a][:, None])
+        p, q = np.nonzero(near >= cosine - doubt)
+        sure = near[p, q] >= cosine + doubt[p, q]
         p, q = a[p], b[q]
-        once = p < q if i == j else np.ones(len(p), bool)
-        p, q = p[once], q[once]
         # a pair belongs to the first table in which it meets
-        new = ~(hashes[p, :t] == hashes[q, :t]).any(1) if t else np.ones(len(p), bool)
+        once = p < q if i == j else np.ones(len(p), bool)
+        if t:
+            once &= ~(hashes[p, :t] == hashes[q, :t]).any(1)
+        ask = once & ~sure
+        unsure = pd.DataFrame({"c": ids[p[ask]], "other": ids[q[ask]], "links": 0, "root": 0})
+        # links count once; what is surely near joins a group in whatever table
         links = np.zeros(len(rows), dtype=np.int64)
-        np.add.at(links, p[new], weight[q[new]])
-        np.add.at(links, q[new], weight[p[new]])
+        np.add.at(links, p[once & sure], weight[q[once & sure]])
+        np.add.at(links, q[once & sure], weight[p[once & sure]])
+        p, q = p[sure], q[sure]
         root = np.arange(len(rows))
         while len(p):
             low = np.minimum(root[p], root[q])
@@ -104,9 +120,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
             if (root == was).all():
                 break
         out = (links > 0) | (root != np.arange(len(rows)))
-        return pd.DataFrame({"c": ids[out], "links": links[out], "root": ids[root[out]]})
+        return pd.concat([pd.DataFrame({"c": ids[out], "other": ids[out], "links": links[out], "root": ids[root[out]]}), unsure])
+
+    found = scratch(cells.groupBy(*bucket, "i", "j").applyInPandas(verify, "c long, other long, links long, root long"), "links")
+    # pairs within what short numbers can be off by: the vectors themselves decide
+    side = lambda n: hashed.select(F.col("c").alias(n), F.col("w").alias(f"w{n}"), F.col("unit").alias(f"x{n}"))
+    unsure = found.where("c <> other").select(F.col("c").alias("a"), F.col("other").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.float64) for n in ("xa", "xb"))
+            ends = np.cumsum(pc.binary_length(batch.column("xa")).to_numpy()) // 8
+            sums = np.array([x[lo:hi] @ y[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends)])
+            yield batch.select(["a", "b", "wa", "wb"]).filter(pa.array(sums >= cosine, pa.bool_()))
 
-    found = scratch(cells.groupBy(*bucket, "i", "j").applyInPandas(verify, "c long, links long, root long"), "links")
+    checked = scratch(unsure.mapInArrow(exact, "a long, b long, wa long, wb long"), "links")
+    surely = found.where("c = other").select("c", "links", "root")
+    found = surely.unionByName(checked.select(F.col("a").alias("c"), F.col("wb").alias("links"), F.col("b").alias("root"))).unionByName(checked.select(F.col("b").alias("c"), F.col("wa").alias("links"), F.col("a").alias("root")))
     linked = found.groupBy("c").agg(F.sum("links").alias("links"))
     groups = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")))
     facts = classes.join(linked, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left").select("label", "x", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component"))
