@@ -18,44 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.wordhash import by_bytes, flat_bytes
+from plumbline.llm.wordhash import Places, by_bytes, flat_bytes
 
 _PAD = "   "
 #: Language costs of bytes that are held at once.
 _CELLS = 1 << 22
 _UNIFORM = 8.0
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Keys:
-    """Places of whole numbers in a sorted array without repeats, by an open hash table at a quarter of its room."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys.astype(np.int64)
-        self.bits = max(10, int(4 * len(keys)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        left, at = np.arange(len(keys), dtype=np.int32), self._home(self.keys)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]  # of several for one slot, one stays
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each of ``keys``; the number of all for those that aren't there."""
-        n = len(self.keys)
-        at = self._home(keys)
-        out = self.slots[at].astype(np.int64)
-        open_ = np.flatnonzero((out >= 0) & (self.keys[np.minimum(out, n - 1)] != keys)) if n else np.zeros(0, np.int64)
-        while len(open_):
-            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
-            out[open_] = self.slots[at[open_]]
-            open_ = open_[(out[open_] >= 0) & (self.keys[np.minimum(out[open_], n - 1)] != keys[open_])]
-        out[out < 0] = n
-        return out
 
 
 @dataclass(frozen=True)
@@ -152,15 +120,15 @@ def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PPM | None:
 _OPEN: dict = {}
 
 
-def _index(model: PPM, key: int) -> tuple[Keys, Keys]:
+def _index(model: PPM, key: int) -> tuple[Places, Places]:
     """Hash tables of the triples and quadruples; once a worker."""
     if key not in _OPEN:
         _OPEN.clear()
-        _OPEN[key] = Keys(model.triples), Keys(model.quads)
+        _OPEN[key] = Places(model.triples), Places(model.quads)
     return _OPEN[key]
 
 
-def code_lengths(model: PPM, index: tuple[Keys, Keys], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def code_lengths(model: PPM, index: tuple[Places, Places], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each text under each language, and the number of bytes coded."""
     triples, quads = index
     flat, off = _padded(texts)

@@ -74,6 +74,71 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+class Places:
+    """Places of 64-bit keys in the order in which they were added, by an open hash table at a quarter of its room."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys = np.zeros(0, np.uint64)
+        self.slots, self.bits = np.zeros(0, np.int32), 0
+        self.add(self.keys if keys is None else keys)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add keys that aren't there and don't repeat."""
+        have = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys.astype(np.uint64)])
+        if 4 * len(self.keys) > len(self.slots) or not self.bits:
+            self.bits, have = max(10, int(8 * len(self.keys)).bit_length()), 0
+            self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        left = np.arange(have, len(self.keys), dtype=np.int32)
+        at = self._home(self.keys[have:])
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several for one slot, one stays
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each of ``keys``; the number of all for those that aren't there."""
+        n, keys = len(self.keys), keys.astype(np.uint64)
+        at = self._home(keys)
+        out = self.slots[at].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.keys[np.minimum(out, n - 1)] != keys)) if n else np.zeros(0, np.int64)
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+            out[open_] = self.slots[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[np.minimum(out[open_], n - 1)] != keys[open_])]
+        out[out < 0] = n
+        return out
+
+
+def hashes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte ranges, which ascend and don't overlap."""
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        # as many ranges as fit a segment; one longer than that is hashed alone, piece by piece
+        hi = int(np.searchsorted(ends, starts[lo] + _SEGMENT, side="right"))
+        if hi <= lo:
+            h = 0
+            for s in range(int(starts[lo]), int(ends[lo]), _SEGMENT):
+                part = _BYTE[raw[s : min(s + _SEGMENT, int(ends[lo]))]]
+                h = (h * _BASE + int(np.sum(part * _POW[: len(part)], dtype=np.uint64))) % 2**64
+            hashes[lo] = h
+            lo += 1
+            continue
+        first = int(starts[lo])
+        part = _BYTE[raw[first : int(ends[hi - 1])]]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * _POW[: len(part)], out=total[1:])
+        s, e = starts[lo:hi] - first, ends[lo:hi] - first
+        hashes[lo:hi] = (total[e] - total[s]) * _INV[s]
+        lo = hi
+    return mix(hashes + (ends - starts).astype(np.uint64))
+
+
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (byte offsets in the flat text) and hash of each word, and the n+1 offsets of rows in words.
 
@@ -95,29 +160,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
         after[edge[1:]] = False
     ends = np.flatnonzero(is_word & ~after) + 1
     rows = np.searchsorted(starts, off).astype(np.int64)
-    hashes = np.zeros(len(starts), dtype=np.uint64)
-    if lower:
-        raw = _LOWER[raw]
-    lo = 0
-    while lo < len(starts):
-        # as many words as fit a segment; a word longer than that is hashed alone, piece by piece
-        hi = int(np.searchsorted(ends, starts[lo] + _SEGMENT, side="right"))
-        if hi <= lo:
-            h = 0
-            for s in range(int(starts[lo]), int(ends[lo]), _SEGMENT):
-                part = _BYTE[raw[s : min(s + _SEGMENT, int(ends[lo]))]]
-                h = (h * _BASE + int(np.sum(part * _POW[: len(part)], dtype=np.uint64))) % 2**64
-            hashes[lo] = h
-            lo += 1
-            continue
-        first = int(starts[lo])
-        part = _BYTE[raw[first : int(ends[hi - 1])]]
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * _POW[: len(part)], out=total[1:])
-        s, e = starts[lo:hi] - first, ends[lo:hi] - first
-        hashes[lo:hi] = (total[e] - total[s]) * _INV[s]
-        lo = hi
-    return starts, ends, mix(hashes + (ends - starts).astype(np.uint64)), rows
+    return starts, ends, hashes_of(_LOWER[raw] if lower else raw, starts, ends), rows
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

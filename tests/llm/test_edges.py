@@ -11,7 +11,7 @@ from plumbline.llm import bpe, jaccard, langid, mixing, neardup_vectors, quality
 from plumbline.llm.common import components
 from plumbline.llm.queries import tokenizer
 
-EXTRA = ["size", "kept", "shard", "slot", "n_words", "class", "component_id", "score", "secrets", "ids", "target", "copies", "lang_pred", "bucket", "value", "n", "s", "h", "k1", "gram", "t", "removed", "tokens"]
+EXTRA = ["size", "kept", "shard", "slot", "n_words", "class", "component_id", "score", "secrets", "ids", "target", "copies", "lang_pred", "bucket", "value", "n", "s", "h", "k1", "gram", "t", "removed", "tokens", "row", "key", "cut", "range", "unit", "d", "k2", "_t", "_w", "_id", "_cut", "_s", "_h", "_k", "_copy", "_group", "_s_1", "h_"]
 SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
@@ -95,6 +95,7 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none).count() == 0
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
+    assert mixed.where(" or ".join(f"{c} <> '?'" for c in EXTRA)).isEmpty()
 
 
 def test_vectors(spark):
