@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import pieces
+from plumbline.llm.wordhash import flat_bytes
+
 #: Fixed value: the split of texts into pieces, none of which a token crosses.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -105,6 +108,29 @@ class SuffixAutomaton:
                 found = up[found]
 
 
+def _split(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of ``PIECES`` in plain texts with offsets ``off``.
+
+    A piece is a run of letters, numbers or other signs with the one space before it; of longer white space, all but
+    its last character is a piece, and so is that where it is no space or nothing follows.
+    """
+    n = len(raw)
+    kind, _ = pieces.classes(raw)
+    new = np.ones(n, dtype=bool)
+    new[1:] = kind[1:] != kind[:-1]
+    heads = off[:-1][off[:-1] < n]
+    new[heads] = True
+    last = np.zeros(n, dtype=bool)  # white space before something else in the same text
+    last[:-1] = (kind[:-1] == pieces.SPACE) & (kind[1:] != pieces.SPACE)
+    last[off[1:][off[1:] > 0] - 1] = False
+    new |= last
+    joins = np.flatnonzero(last & (raw == 0x20))
+    new[joins + 1] = False
+    pieces.cut_endings(raw, off, new, np.flatnonzero((raw == ord("'")) & new))
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], n)
+
+
 class ByteBPE:
     """Vocabulary, merges and suffix automaton of a byte-level ``tokenizers`` JSON file."""
 
@@ -122,13 +148,19 @@ class ByteBPE:
         self.byte_id = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair is merged after its parts were made; then merges go by rank, and the test of two tokens is a walk
+        self.parts = {new: (a, b, rank) for (a, b), (rank, new) in self.merges.items()}
+        made = lambda t: self.parts[t][2] if t in self.parts else -1
+        self.by_rank = all(rank > max(made(a), made(b)) for a, b, rank in self.parts.values())
+        self.edges: tuple[dict[int, list[tuple[int, float]]], ...] = ({}, {})
         self.automaton = SuffixAutomaton({self.bytes[i]: i for i in vocab.values() if i not in self.added.values()})
-        self.pieces = regex.compile(PIECES)
+        self.split = regex.compile(PIECES)
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.apart: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.most = most
+        self.memory = pieces.Memory(lambda new: [self.encode_piece(w) for w in new])
 
     def merged(self, data: bytes) -> list[int]:
         """The code of a few bytes by the merges themselves; serves the compatibility tests."""
@@ -148,13 +180,49 @@ class ByteBPE:
             ids = out
         return ids
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """What stands at the first (0) or last (1) place of a token's bytes as its merges go on, from the byte to the
+        token itself, each with the rank of the merge that takes it up."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, until, at = [], float("inf"), token
+            while at in self.parts:
+                known.append((at, until))
+                until = self.parts[at][2]
+                at = self.parts[at][side]
+            known.append((at, until))
+            known.reverse()
+            self.edges[side][token] = known
+        return known
+
     def compatible(self, a: int, b: int) -> bool:
+        """Whether the joint bytes of two tokens are coded as these two: no merge across their border comes first."""
         key = a << 20 | b
-        if key not in self.apart:
-            if len(self.apart) > 4_000_000:
+        apart = self.apart.get(key)
+        if apart is None:
+            if len(self.apart) > 500_000:
                 self.apart.clear()
-            self.apart[key] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
-        return self.apart[key]
+            if not self.by_rank:
+                apart = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            else:
+                left, right, merges = self._edge(a, 1), self._edge(b, 0), self.merges
+                i = j = 0
+                while True:
+                    (one, until), (two, then) = left[i], right[j]
+                    found = merges.get((one, two))
+                    # of equal merges the leftmost is done first
+                    if found is not None and found[0] < until and found[0] <= then:
+                        apart = False
+                        break
+                    if until <= then:
+                        i += 1
+                    else:
+                        j += 1
+                    if i == len(left) or j == len(right):
+                        apart = True
+                        break
+            self.apart[key] = apart
+        return apart
 
     def reachable(self, a: int) -> bool:
         if a not in self.alone:
@@ -163,13 +231,13 @@ class ByteBPE:
 
     def encode_piece(self, data: bytes) -> list[int]:
         n = len(data)
-        last = [-1] * (n + 1)
+        last, found = [-1] * (n + 1), 0
         for end, length, token in self.automaton.matches(data):
-            if last[end] >= 0:
+            if end == found:
                 continue
             before = end - length
-            if (before == 0 or last[before] >= 0 and self.compatible(last[before], token)) and self.reachable(token):
-                last[end] = token
+            if (not before or last[before] >= 0 and self.compatible(last[before], token)) and self.reachable(token):
+                last[end], found = token, end
         ids = []
         while n:
             ids.append(last[n])
@@ -178,7 +246,7 @@ class ByteBPE:
 
     def _plain(self, text: str) -> list[bytes]:
         known, out = self.known, []
-        for p in self.pieces.findall(text):
+        for p in self.split.findall(text):
             code = known.get(p)
             if code is None:
                 code = np.array(self.encode_piece(p.encode()), dtype="<u4").tobytes()
@@ -201,6 +269,13 @@ class ByteBPE:
             at = m.end()
         return b"".join(out + self._plain(text[at:]))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """:meth:`encode` of each; plain texts without added tokens are split and looked up together."""
+        plain = [pieces.PLAIN.fullmatch(t) is not None and not (self.specials and self.specials.search(t)) for t in texts]
+        raw, off = flat_bytes(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()))
+        together = iter(self.memory.codes(raw, off, *_split(raw, off)) if any(plain) else ())
+        return [next(together) if p else self.encode(t) for t, p in zip(texts, plain)]
+
     def decode(self, ids: bytes) -> str:
         """The text of such ids; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -250,7 +325,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
     def columns(texts: list) -> list[pa.Array]:
         bpe = _opened(tokenizer)
-        ids = [bpe.encode(t or "") for t in texts]
+        ids = bpe.encode_all([t or "" for t in texts])
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
     return _mapped(docs, text, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], columns)

@@ -18,50 +18,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import pieces
 from plumbline.llm.common import scratch
-from plumbline.llm.wordhash import Places, flat_bytes, hashes_of
+from plumbline.llm.wordhash import flat_bytes
 
 #: Pieces up to so many characters are remembered.
 _LONG = 64
-#: Texts of these characters alone are split as below before they are encoded: ASCII, Latin letters that NFC leaves alone
-#: and that have one lower-case letter each, and common signs, none of which are letters, numbers or spaces.
-_PLAIN = re.compile("[\x00-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac]*")
 #: Fixed value: the tokenizer's split of lower-case text; :func:`_split` does the same to those characters.
 _SPLITS_ALIKE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
-_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-#: Class of each byte; those that go on a character have its first byte's.
-_CLASS = np.full(256, _OTHER, dtype=np.uint8)
-_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
-_CLASS[ord("a") : ord("z") + 1] = _LETTER
-_CLASS[0xC3:0xC6] = _LETTER
-_CLASS[ord("0") : ord("9") + 1] = _NUMBER
 
 
 def _split(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the tokenizer's pieces in lower-case plain texts with offsets ``off``."""
     n = len(raw)
-    kind = _CLASS[raw]
-    on = (raw & 0xC0) == 0x80
-    for _ in range(2):  # a character has at most three bytes
-        kind[1:][on[1:]] = kind[:-1][on[1:]]
+    kind, on = pieces.classes(raw)
     new = np.ones(n, dtype=bool)
-    new[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == _NUMBER) & ~on[1:])
+    new[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == pieces.NUMBER) & ~on[1:])
     new[off[:-1][off[:-1] < n]] = True
-    # 's, 't, 'm, 'd, 're, 've and 'll are pieces where the sign doesn't go on with others
-    quote = np.flatnonzero((raw == ord("'")) & new)
-    room = off[np.searchsorted(off, quote, side="right")] - quote
-    next_ = lambda k: np.where(room > k, raw[np.minimum(quote + k, n - 1)], 0)
-    one, two = next_(1), next_(2)
-    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
-    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
-    for at, size in ((quote[short], 2), (quote[long & ~short], 3)):
-        new[at + 1] = False
-        end = at + size
-        new[end[end < n]] = True
+    pieces.cut_endings(raw, off, new, np.flatnonzero((raw == ord("'")) & new))
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], n)
-    word = kind[starts] != _SPACE
+    word = kind[starts] != pieces.SPACE
     return starts[word], ends[word]
 
 
@@ -86,55 +64,33 @@ class _Encoder:
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         first, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.splits = steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": _SPLITS_ALIKE} and [x["type"] for x in rest] == ["ByteLevel"]
-        self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+        letters, model = str.maketrans({chr(b): c for c, b in byte_letters().items()}), self.tokenizer.model
+        self.memory = pieces.Memory(lambda new: [[t.id for t in model.tokenize(w.decode("latin-1").translate(letters))] for w in new], most)
         self.known: dict[str, bytes] = {}
         self.most = most
-        self.forget()
-
-    def forget(self) -> None:
-        self.places, self.starts, self.ids = Places(), np.zeros(1, np.int64), np.zeros(0, "<i4")
 
     def plain(self, texts: list[str]) -> list[bytes]:
         raw, off = flat_bytes(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        starts, ends = _split(raw, off)
-        hashes = hashes_of(raw, starts, ends)
-        if len(self.places.keys) > self.most:
-            self.forget()
-        at = self.places.find(hashes)
-        missing = np.flatnonzero(at == len(self.places.keys))
-        if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            first = missing[first]
-            data, model = raw.tobytes(), self.tokenizer.model
-            codes = [[t.id for t in model.tokenize(data[a:b].decode("latin-1").translate(self.letters))] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(c) for c in codes])])
-            self.ids = np.concatenate([self.ids, np.array([i for c in codes for i in c], dtype="<i4")])
-            self.places.add(new)
-            at[missing] = self.places.find(hashes[missing])
-        sizes = self.starts[at + 1] - self.starts[at]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.starts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
-        cuts = upto[np.searchsorted(starts, off)].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return self.memory.codes(raw, off, *_split(raw, off))
 
     def other(self, texts: list[str]) -> list[bytes]:
-        pieces = [_SPACES.split(t) for t in texts]
+        words = [_SPACES.split(t) for t in texts]
         known = self.known
         if len(known) > self.most // 5:
             known.clear()
-        new = [w for w in set().union(*pieces) if w not in known]
+        new = [w for w in set().union(*words) if w not in known]
         for lo in range(0, len(new), 5_000):
             part = new[lo : lo + 5_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype="<i4").tobytes()
-        out = [b"".join(map(known.__getitem__, ws)) for ws in pieces]
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
         for w in new:
             if len(w) > _LONG:
                 del known[w]
         return out
 
     def _is_plain(self, text: str) -> bool:
-        return _PLAIN.fullmatch(text) is not None and ("<" not in text or not any(s in text.lower() for s in self.special))
+        return pieces.PLAIN.fullmatch(text) is not None and ("<" not in text or not any(s in text.lower() for s in self.special))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [self.splits and self._is_plain(t) for t in texts]
