@@ -47,3 +47,37 @@ def test_stages(spark, tmp_path):
             for r in after:
                 assert np.frombuffer(r["ids"], "<u4").tolist() == t.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         before = after
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _t string, row string, lang_pred string, secrets string, size string, copies string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t), *["?"] * 6) for i, t, lang, src in rows], SCHEMA)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in all columns, empty and very long texts, repeated rows, clashing names."""
+    long = " ".join(f"word{i % 977} of{i}" for i in range(40_000))
+    rows = [(1, "the cat sat on the mat by the door of the house", "en", "a"), (1, "the cat sat on the mat by the door of the house", "en", "a"), (2, "THE cat sat on the mat by the door of the house", None, None), (3, None, "en", "a"), (4, "", None, None), (5, "12 34", "de", "b"), (6, long, "en", "a"), (7, long + " more", None, "b"), (8, "token = 'abcdefgh' and so on", "en", None), (None, "ein Satz ohne Nummer", "de", None), (None, "ein Satz ohne Nummer", "de", None), (None, None, None, None)]
+    docs = frame(spark, rows)
+    named = corpus_pipeline.language(spark, docs, DIR)
+    assert named.columns == corpus_pipeline.COLUMNS
+    assert sorted(str(r["doc_id"]) for r in named.collect()) == sorted(str(i) for i, t, *_ in rows if t and any(c.isalpha() for c in t))
+    unique = corpus_pipeline.near_duplicates(spark, docs, DIR)
+    assert unique.columns == corpus_pipeline.COLUMNS
+    assert sorted(str(r["doc_id"]) for r in unique.collect()) == sorted(["1", "3", "4", "5", "6", "8", "None", "None"])
+    masked = corpus_pipeline.mask_secrets(spark, docs, DIR)
+    found = masked.collect()
+    assert masked.columns == corpus_pipeline.COLUMNS and len(found) == len(rows)
+    assert [r["text"] for r in found if r["doc_id"] == 8] == ["[ASSIGN]' and so on"] and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in found)
+    mixed = corpus_pipeline.mix_sources(spark, docs, DIR)
+    assert mixed.columns == corpus_pipeline.COLUMNS and {r["doc_id"] for r in mixed.collect()} <= {1, 2, 5, 6, 7, 8, None}
+    coded = {(r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.tokens(spark, docs, DIR).collect()}
+    assert {(3, 0), (4, 0), (None, 0)} <= coded and len(coded) == 10
+
+
+def test_stages_on_no_rows(spark):
+    docs = frame(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DIR).count() == 0
