@@ -6,13 +6,10 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.queries.registry import QUERIES, SQL
 
-for _name in ("scores", "shapes", "groups", "pairs", "components", "clusters", "learning", "serving"):
+for _name in ("scores", "shapes", "groups", "pairs", "components", "clusters", "learning", "serving", "reads"):
     importlib.import_module(f"plumbline.queries.{_name}")
 
-__all__ = ["QUERIES", "SQL", "Callable", "DataFrame", "SparkSession"]
+__all__ = ["QUERIES", "SQL"]
