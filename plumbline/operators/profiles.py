@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import Expr, clean_number, clip, col, nonzero, ranked
 from plumbline.functions.names import leaks
-from plumbline.operators.stats import median, quantile, with_stats
+from plumbline.operators.stats import LARGE, quantile, range_quantiles, with_stats
+from plumbline.sources.scratch import materialise
 
 
 def stack(df: DataFrame, names: Sequence[str], fields: Sequence[str], name: str = "feature_name", keep: Sequence[str] = ()) -> DataFrame:
@@ -46,12 +47,22 @@ def single_projection(df: DataFrame, features: Sequence[str], keep: Sequence[str
 
 
 def reliability_table(df: DataFrame, features: Sequence[str], full_at: int = 20) -> DataFrame:
-    """A row for each feature: coverage, share of nonzero among values, distinct values, dispersion and a blend of them."""
-    aggs = []
-    for f in features:
-        x = F.col(f)
-        aggs += [(F.count(x) / F.count(F.lit(1))).alias(f"c__{f}"), F.avg((x != 0).cast("double")).alias(f"z__{f}"), F.count_distinct(x).alias(f"u__{f}"), F.stddev_pop(x).alias(f"s__{f}"), median(F.abs(x)).alias(f"m__{f}")]
-    t = stack(df.agg(*aggs), features, ["c", "z", "u", "s", "m"])
+    """A row for each feature: coverage, share of nonzero among values, distinct values, dispersion and a blend of them.
+
+    All measures come from one table of the counts of each feature's distinct values.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature_name"), F.col(f).cast("double").alias("x")) for f in features])).alias("r")
+    counts = materialise(df.select(cells).select("r.*").where("x is not null").groupBy("feature_name", "x").agg(F.count(F.lit(1)).alias("k")))
+    rows = df.count()
+    sums = counts.groupBy("feature_name").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("u"), F.sum(F.when(F.col("x") != 0, F.col("k")).otherwise(0)).alias("nz"), (F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("a"))
+    spread = counts.join(F.broadcast(sums.select("feature_name", "a")), "feature_name").groupBy("feature_name").agg(F.sqrt(F.sum(F.col("k") * (F.col("x") - F.col("a")) * (F.col("x") - F.col("a"))) / F.sum("k")).alias("s"))  # a row a feature
+    if rows > LARGE:
+        middle = stack(range_quantiles(df, {f"m__{f}": (F.abs(F.col(f)), 0.5) for f in features}), features, ["m"])
+    else:
+        middle = counts.groupBy("feature_name").agg(F.percentile(F.abs("x"), F.lit(0.5), F.col("k")).alias("m"))
+    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature_name string")
+    t = every.join(sums, "feature_name", "left").join(spread, "feature_name", "left").join(middle, "feature_name", "left")
+    t = t.select("feature_name", (F.coalesce("n", F.lit(0)) / F.lit(rows)).alias("c"), (F.col("nz") / F.col("n")).alias("z"), F.coalesce("u", F.lit(0)).alias("u"), "s", "m")
     varied = F.col("u") > 1
     distinct = F.least(F.col("u") / float(full_at), F.lit(1.0))
     dispersion = F.when(F.col("s") <= 0, 0.0).otherwise(F.col("s") / (F.col("s") + F.col("m") + 1e-9))
@@ -68,8 +79,9 @@ def reliability_table(df: DataFrame, features: Sequence[str], full_at: int = 20)
     )
 
 
-def quality_table(df: DataFrame, features: Sequence[str], missing: float | None = -1.0) -> DataFrame:
-    """A row for each feature: coverage, distinct values, entropy, deviation, and their product as quality.
+def quality_table(df: DataFrame, features: Sequence[str], missing: float | None = -1.0, digits: int | None = 6) -> DataFrame:
+    """A row for each feature: coverage, distinct values, entropy, deviation, and their product as quality, rounded to
+    ``digits`` where given.
 
     ``missing`` is a sentinel for missing values; the nonzero share counts missing values as nonzero.
     """
@@ -84,8 +96,9 @@ def quality_table(df: DataFrame, features: Sequence[str], missing: float | None
     t = facts.join(entropy(long, facts), "feature_name", "left").withColumn("e", F.coalesce("entropy", F.lit(0.0)))
     some = F.col("u") > 1
     product = F.col("n") / F.col("rows") * F.col("z") * F.col("e") * F.sqrt(F.col("u") / F.greatest(F.col("n"), F.lit(1))) * F.log1p(F.greatest("s", F.lit(0.0)))
-    zero = lambda e: F.round(F.when(some, e).otherwise(0.0), 6)
-    return t.select("feature_name", F.round(F.col("n") / F.col("rows"), 6).alias("coverage_ratio"), F.col("u").alias("unique_count"), zero(F.col("e")).alias("entropy_score"), zero(F.col("s")).alias("variance_score"), zero(product).alias("quality_score"))
+    short = lambda e: e if digits is None else F.round(e, digits)
+    zero = lambda e: short(F.when(some, e).otherwise(0.0))
+    return t.select("feature_name", short(F.col("n") / F.col("rows")).alias("coverage_ratio"), F.col("u").alias("unique_count"), zero(F.col("e")).alias("entropy_score"), zero(F.col("s")).alias("variance_score"), zero(product).alias("quality_score"))
 
 
 def entropy(long: DataFrame, facts: DataFrame) -> DataFrame:
