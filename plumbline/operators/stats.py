@@ -18,17 +18,70 @@ from plumbline.sources.scratch import materialise
 MAD_TO_SIGMA = 1.4826
 
 
-def with_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], null_group: bool = True) -> DataFrame:
+#: Values of a group up to which one task takes its exact quantiles; beyond, ranges of values share the work.
+LARGE = 4_000_000
+
+
+def is_large(df: DataFrame, keys: Sequence[str] = ()) -> bool:
+    """Whether some group (or, without keys, the table) has more than ``LARGE`` rows; it only decides how quantiles that
+    are exact either way are computed."""
+    if df.count() <= LARGE:
+        return False
+    return not keys or (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > LARGE
+
+
+def range_quantiles(df: DataFrame, cells: Mapping[str, tuple[Column, float]], keys: Sequence[str] = (), slack: float = 0.002) -> DataFrame:
+    """``keys`` (as ``_key_0``, ...) and, for each name -> (value, p), its exact quantile with linear interpolation.
+
+    No group gathers in a task: approximate quantiles (with a rank error of a tenth of ``slack``) give two bounds that
+    the wanted ranks surely lie between; values below are counted, and only the distinct values between them are put
+    in order, with their counts.
+    """
+    names = [f"_key_{i}" for i in range(len(keys))]
+    cell = F.explode(F.array(*[F.struct(F.lit(o).alias("_o"), F.lit(float(p)).alias("_p"), x.cast("double").alias("_x")) for o, (x, p) in cells.items()])).alias("c")
+    long = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], cell).select(*names, "c.*").where("_x is not null")
+    at = sorted({p for _, p in cells.values()})
+    marks = [m for p in at for m in (max(0.0, p - slack), min(1.0, p + slack))]
+    by = [*names, "_o"]
+    found = long.groupBy(*by).agg(F.percentile_approx("_x", marks, int(10 / slack)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    place = sum((F.when(F.col("_p") == p, 2 * i).otherwise(0) for i, p in enumerate(at)), F.lit(0)).cast("int")
+    bounds = materialise(found.select(*[F.col(c).alias(f"_b{c}") for c in by], "_m", "_n"))
+    meet = _both([long[c].eqNullSafe(bounds[f"_b{c}"]) for c in by])
+    placed = long.join(bounds, meet).select(*by, "_p", "_x", "_n", F.get("_m", place).alias("_lo"), F.get("_m", place + 1).alias("_hi"))
+    low, high = F.col("_x") < F.col("_lo"), F.col("_x") > F.col("_hi")
+    beside = [F.count(F.when(low, 1)).alias("_below"), F.max(F.when(low, F.col("_x"))).alias("_prev"), F.min(F.when(high, F.col("_x"))).alias("_next")]
+    below = materialise(placed.groupBy(*by).agg(*beside).select(*[F.col(c).alias(f"_b{c}") for c in by], "_below", "_prev", "_next"))
+    inside = placed.where(F.col("_x").between(F.col("_lo"), F.col("_hi"))).groupBy(*by, "_p", "_n", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    inside = inside.join(below, _both([inside[c].eqNullSafe(below[f"_b{c}"]) for c in by])).drop(*[f"_b{c}" for c in by])
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.col("_p") * (F.col("_n") - 1)
+    # of few values, a wanted rank may be that of the neighbour of the bounds
+    first = lambda r: F.coalesce(F.min(F.when(r < F.col("_below"), F.col("_prev")).when(F.col("_upto") > r, F.col("_x"))), F.max("_next"))
+    two = inside.withColumns({"_upto": upto, "_r": rank}).groupBy(*by).agg(first(F.floor("_r")).alias("_v"), first(F.ceil("_r")).alias("_w"), F.max(F.col("_r") - F.floor("_r")).alias("_f"))
+    value = two.select(*names, "_o", (F.col("_v") + (F.col("_w") - F.col("_v")) * F.col("_f")).alias("_q"))
+    return value.groupBy(*names).agg(*[F.max(F.when(F.col("_o") == o, F.col("_q"))).alias(o) for o in cells])
+
+
+def with_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], null_group: bool = True, quantiles: Mapping[str, tuple[Column, float]] | None = None, large: bool | None = None) -> DataFrame:
     """Add ``stats``, aggregated by ``keys``, to every row; without keys they are taken over all rows.
 
-    With ``null_group`` false, rows with a null key get nulls.
+    ``quantiles`` (name -> value, p) are added likewise; ``large`` says whether a group is too large to take them in one
+    task (None: find out).  With ``null_group`` false, rows with a null key get nulls.
     """
-    aggs = [c.alias(n) for n, c in stats.items()]
+    cells = dict(quantiles or {})
+    far = bool(cells) and (is_large(df, keys) if large is None else large)
+    aggs = [c.alias(n) for n, c in stats.items()] + ([] if far else [quantile(x, p).alias(n) for n, (x, p) in cells.items()])
+    added = [*stats, *cells]
     if not keys:
-        row = df.agg(*aggs).first()
-        return df.withColumns({n: F.lit(row[n]) if row[n] is not None else F.lit(None).cast("double") for n in stats})
+        row = (df.agg(*aggs).first().asDict() if aggs else {}) | (range_quantiles(df, cells).first().asDict() if far else {})
+        return df.withColumns({n: F.lit(row[n]) if row[n] is not None else F.lit(None).cast("double") for n in added})
     names = [f"_key_{i}" for i in range(len(keys))]
-    by = materialise(df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*aggs))
+    same = lambda left, right, of: _both([left[a].eqNullSafe(right[b]) for a, b in of])
+    by = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*(aggs or [F.lit(1).alias("_one")]))
+    if far:
+        more = range_quantiles(df, cells, keys).withColumnsRenamed({n: f"_q{n}" for n in names})
+        by = by.join(more, same(by, more, [(n, f"_q{n}") for n in names]), "left").drop(*[f"_q{n}" for n in names])
+    by = materialise(by.select(*names, *added))
     cond = None
     for k, n in zip(keys, names):
         one = df[k].eqNullSafe(by[n]) if null_group else df[k] == by[n]
@@ -45,19 +98,27 @@ def median(x: Expr) -> Column:
     return quantile(x, 0.5)
 
 
+def medians(df: DataFrame, columns: Sequence[str], large: bool | None = None) -> dict[str, float | None]:
+    """The exact median of each column over all rows."""
+    if is_large(df) if large is None else large:
+        return range_quantiles(df, {c: (F.col(c), 0.5) for c in columns}).first().asDict()
+    return df.agg(*[median(c).alias(c) for c in columns]).first().asDict()
+
+
 def _scale(mad: Expr, std: Expr) -> Column:
     return F.coalesce(nonzero(MAD_TO_SIGMA * col(mad)), nonzero(std), F.lit(1.0))
 
 
-def robust_z(df: DataFrame, values: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+def robust_z(df: DataFrame, values: Mapping[str, str], keys: Sequence[str] = (), large: bool | None = None) -> DataFrame:
     """Add, for each output name -> column, (x - median) / scale by group.
 
     Scale is 1.4826 times the median absolute deviation, else the standard deviation (of the sample within groups, of
     the population over all rows), else 1.
     """
     std = F.stddev_samp if keys else F.stddev_pop
-    df = with_stats(df, keys, {f"_med_{o}": median(x) for o, x in values.items()} | {f"_std_{o}": std(x) for o, x in values.items()})
-    df = with_stats(df, keys, {f"_mad_{o}": median(F.abs(F.col(x) - F.col(f"_med_{o}"))) for o, x in values.items()})
+    large = is_large(df, keys) if large is None else large
+    df = with_stats(df, keys, {f"_std_{o}": std(x) for o, x in values.items()}, quantiles={f"_med_{o}": (F.col(x), 0.5) for o, x in values.items()}, large=large)
+    df = with_stats(df, keys, {}, quantiles={f"_mad_{o}": (F.abs(F.col(x) - F.col(f"_med_{o}")), 0.5) for o, x in values.items()}, large=large)
     df = df.withColumns({o: (F.col(x) - F.col(f"_med_{o}")) / _scale(f"_mad_{o}", f"_std_{o}") for o, x in values.items()})
     return df.drop(*[f"_{s}_{o}" for s in ("med", "std", "mad") for o in values])
 
@@ -71,18 +132,20 @@ def calibrated_scores(df: DataFrame, values: Mapping[str, str], keys: Sequence[s
     """
     zg, zo = {f"_zg_{o}": x for o, x in values.items()}, {f"_zo_{o}": x for o, x in values.items()}
     squash = (lambda z: soft_clip(z, soft)) if soft else col
+    whole = is_large(df)
+    large = whole and bool(keys) and is_large(df, keys)
     if fixed:
         df = df.withColumns({f"_zo_{o}": (F.col(x) - fixed[0]) / (fixed[1] or 1.0) for o, x in values.items()})
     else:
-        df = robust_z(df, zo)
+        df = robust_z(df, zo, large=whole)
     grouped = bool(keys) and not fixed
     if grouped:
-        df = robust_z(df, zg, keys)
+        df = robust_z(df, zg, keys, large)
     df = df.withColumns({z: squash(z) for z in [*zo, *(zg if grouped else ())]})
-    size = lambda z: quantile(F.abs(F.col(z)), percentile / 100.0)
-    df = with_stats(df, (), {f"_qo_{o}": size(f"_zo_{o}") for o in values})
+    size = lambda z: (F.abs(F.col(z)), percentile / 100.0)
+    df = with_stats(df, (), {}, quantiles={f"_qo_{o}": size(f"_zo_{o}") for o in values}, large=whole)
     if grouped:
-        df = with_stats(df, keys, {f"_qg_{o}": size(f"_zg_{o}") for o in values} | {f"_n_{o}": F.count(x) for o, x in values.items()})
+        df = with_stats(df, keys, {f"_n_{o}": F.count(x) for o, x in values.items()}, quantiles={f"_qg_{o}": size(f"_zg_{o}") for o in values}, large=large)
     unit = lambda q: F.coalesce(nonzero(q), F.lit(1.0))
     out = {}
     for o in values:
@@ -131,11 +194,11 @@ def shrink_by_volume(df: DataFrame, values: Mapping[str, str], volume: str, keys
     Rows with a null key get nulls.  A volume below 0 counts as 0.
     """
     df = df.withColumn("_m", clip(volume, low=0.0))
-    k = {"_k": median("_m") if center == "median" else F.avg("_m")}
-    df = with_stats(df, keys, {f"_avg_{o}": F.avg(x) for o, x in values.items()} | k, null_group=False)
+    middle, k = ({"_k": (F.col("_m"), 0.5)}, {}) if center == "median" else ({}, {"_k": F.avg("_m")})
+    df = with_stats(df, keys, {f"_avg_{o}": F.avg(x) for o, x in values.items()} | k, null_group=False, quantiles=middle)
     df = df.withColumn("_k", nonzero("_k"))
     if keys:
-        df = with_stats(df, (), {"_k_all": median("_k")})
+        df = with_stats(df, (), {}, quantiles={"_k_all": (F.col("_k"), 0.5)}, large=False)  # a value a group
         df = df.withColumn("_k", F.coalesce("_k", "_k_all"))
     w = F.col("_m") / (F.col("_m") + F.coalesce("_k", F.lit(1.0)))
     df = df.withColumns({o: w * F.col(x) + (1.0 - w) * F.col(f"_avg_{o}") for o, x in values.items()})
@@ -146,10 +209,10 @@ def percentile_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] =
     """Average rank over the number of values, times ``scale``; null where x is, or the group has under ``least`` values.
 
     Within keys the ranks are windows: one exchange serves all columns ranked by the same keys.  Over all rows, or with
-    ``split`` (for groups too large for a task), ranks come from the counts of distinct values, summed along their
-    order and joined back by value.
+    ``split`` (None: where some group is too large for a task), ranks come from the counts of distinct values, summed
+    along their order and joined back by value.
     """
-    if keys and not split:
+    if keys and not (is_large(df, keys) if split is None else split):
         w = Window.partitionBy(*keys)
         n = F.count(value).over(w)
         # the mean of the first and the last place that equal values share
@@ -212,9 +275,10 @@ def hierarchical_percentiles(df: DataFrame, values: Mapping[str, str], levels: S
     values, else over all rows, else ``empty``.
     """
     overall = _all_ranks(df, list(values.values()), 100.0, 2)
+    split = [is_large(df, keys) for keys in levels]
     for o, x in values.items():
         for i, keys in enumerate(levels):
-            df = percentile_ranks(df, x, f"_p{i}_{o}", keys, 100.0, least)
+            df = percentile_ranks(df, x, f"_p{i}_{o}", keys, 100.0, least, split[i])
     for o, x in values.items():
         df = _join_ranks(df, overall.where(F.col("_f") == x).drop("_f"), x, f"_all_{o}", ())
     tries = {o: [*[f"_p{i}_{o}" for i in range(len(levels))], f"_all_{o}"] for o in values}

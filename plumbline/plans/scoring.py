@@ -40,16 +40,43 @@ CLUBS = ["current club", "current_club", "Current Club", "club", "club_name", "t
 RATINGS = ["average_rating_overall", "rating", "rating_overall", "rating_pred"]
 
 
-def choose_position(df: DataFrame, candidates: Sequence[str] = ("position_group", "position")) -> str | None:
-    """The candidate column with the most buckets recognised in it (OTHER doesn't count; the first of equals)."""
+def choose_position(df: DataFrame, candidates: Sequence[str] = ("position_group", "position"), wanted: Sequence[str] | None = None) -> str | None:
+    """The candidate column with the most buckets (of those ``wanted``, if given) recognised in it; OTHER doesn't count,
+    and of equals the first is taken."""
     have = [c for c in candidates if c in df.columns]
     if not have:
         return None
-    found = df.agg(*[F.count_distinct(F.when(position_bucket(c) != "OTHER", position_bucket(c))).alias(c) for c in have]).first()
+    use = lambda c: (position_bucket(c) != "OTHER") & (position_bucket(c).isin(list(wanted)) if wanted is not None else F.lit(True))
+    found = df.agg(*[F.count_distinct(F.when(use(c), position_bucket(c))).alias(c) for c in have]).first()
     best = max(have, key=lambda c: found[c])
     return best if found[best] else None
 
 
+def of_positions(df: DataFrame, positions: str | Sequence[str], candidates: Sequence[str] = ("position_group", "position")) -> DataFrame:
+    """Rows whose bucket is one of ``positions``; all rows if no candidate column has any of these."""
+    wanted = sorted({p.upper() for p in ([positions] if isinstance(positions, str) else positions)})
+    column = choose_position(df, candidates, wanted)
+    return df if column is None else df.where(position_bucket(column).isin(wanted))
+
+
+def fill_position_group(df: DataFrame, group: str = "position_group", positions: Sequence[str] = ("position", "postion")) -> DataFrame:
+    """``group`` as a bucket; where it is missing (also as a word), that of the first of ``positions`` that is there.
+
+    Groups are read like positions, which don't know the word FWD: filled forwards end as OTHER, as published.
+    """
+    own = F.col(group).cast("string") if group in df.columns else F.lit(None).cast("string")
+    source = next((p for p in positions if p in df.columns), None)
+    missing = own.isNull() | F.lower(own).isin("none", "nan", "")
+    filled = F.when(missing, position_bucket(source) if source else F.lit("OTHER")).otherwise(own)
+    return df.withColumn(group, position_bucket(filled))
+
+
+def normalised(weights: Mapping[str, float]) -> dict[str, float]:
+    """Weights that sum to 1; as they are if their sum isn't positive."""
+    total = sum(weights.values())
+    return {k: w / total for k, w in weights.items()} if total > 0 else dict(weights)
+
+
 def derived(df: DataFrame, minutes: str = "minutes_played_overall", games: str = "appearances_overall") -> DataFrame:
     """Add nineties and minutes per appearance where their columns are there."""
     if minutes in df.columns:

@@ -108,11 +108,43 @@ def scored_dataset(t):
     return rounded(out.select("c_custkey", "season", "position_bucket", "rating_display", "rating_display_score_pct"), "rating_display", "rating_display_score_pct")
 
 
-@query("scored_table_full")
+def _scored_full() -> str:
+    names, g = [*_COMPONENTS, "rating_display"], "f, season, position_bucket"
+    scale = lambda mad, std: f"coalesce(nullif(1.4826 * {mad}, 0), nullif({std}, 0), 1.0)"
+    soft = lambda z: f"CASE WHEN kind = 'sigmoid' THEN 4 * tanh({z} / 4) ELSE {z} END"
+    cells = " UNION ALL ".join(f"SELECT c_custkey, season, position_bucket, '{n}' AS f, {n} AS x FROM e" for n in names)
+    shown = ", ".join(f"{sr(f'max(CASE WHEN f = {n!r} AND kind = {k!r} THEN v END)')} AS {n}_score_{k}" for n in names for k in ("pct", "sigmoid"))
+    return f"""
+WITH {_targets()}, e AS (SELECT *, {_rating()} AS rating_display FROM tg), l AS MATERIALIZED ({cells}),
+o1 AS (SELECT f, median(x) AS m, stddev_pop(x) AS s FROM l GROUP BY f), o2 AS (SELECT f, median(abs(x - m)) AS d FROM l JOIN o1 USING (f) GROUP BY f),
+g1 AS (SELECT {g}, median(x) AS m, stddev_samp(x) AS s, count(x) AS n FROM l GROUP BY ALL), g2 AS (SELECT {g}, median(abs(x - m)) AS d FROM l JOIN g1 USING ({g}) GROUP BY ALL),
+z0 AS (SELECT c_custkey, {g}, x, n, (x - g1.m) / {scale("g2.d", "g1.s")} AS zg, (x - o1.m) / {scale("o2.d", "o1.s")} AS zo FROM l JOIN g1 USING ({g}) JOIN g2 USING ({g}) JOIN o1 USING (f) JOIN o2 USING (f)),
+z AS MATERIALIZED (SELECT c_custkey, {g}, x, n, kind, {soft("zg")} AS zg, {soft("zo")} AS zo FROM z0, (VALUES ('pct'), ('sigmoid')) AS k(kind)),
+qg AS (SELECT {g}, kind, coalesce(nullif(quantile_cont(abs(zg), 0.9), 0), 1.0) AS q FROM z GROUP BY ALL), qo AS (SELECT f, kind, coalesce(nullif(quantile_cont(abs(zo), 0.9), 0), 1.0) AS q FROM z GROUP BY ALL),
+b AS (SELECT c_custkey, {g}, kind, x, n / (n + 50.0::DOUBLE) AS w, zg, zo, qg.q AS qg, qo.q AS qo FROM z JOIN qg USING ({g}, kind) JOIN qo USING (f, kind)),
+v AS (SELECT c_custkey, {g}, kind, CASE WHEN x IS NOT NULL THEN least(greatest(5 + 4 * tanh((w * zg + (1 - w) * zo) / (w * qg + (1 - w) * qo)), 0), 10) END AS v FROM b)
+SELECT c_custkey, season, position_bucket, {shown} FROM v GROUP BY c_custkey, season, position_bucket
+"""
+
+
+@query("scored_table_full", _scored_full())
 def scored_table_full(t):
-    """The whole plan with both kinds of score for all components, without SQL (its parts have it)."""
+    """The whole plan with both kinds of score for all components."""
     out = scoring.scored_table(seasons(t), _COMPONENTS, _ALLOWED, _WEIGHTS, (), minutes="volume", positions=["position"])
-    return out.select("c_custkey", "season", "position_bucket", *[c for c in out.columns if c.endswith(("_pct", "_sigmoid"))])
+    shown = [c for c in out.columns if c.endswith(("_pct", "_sigmoid"))]
+    return rounded(out.select("c_custkey", "season", "position_bucket", *shown), *shown)
+
+
+@query("of_positions", "SELECT c_custkey FROM customer WHERE c_nationkey % 4 IN (0, 2)")
+def of_positions(t):
+    c = t("customer").select("c_custkey", F.lit("unknown").alias("position_group"), F.expr(_POSITIONS).alias("position"))
+    return scoring.of_positions(c, ["gk", "fwd"]).select("c_custkey")
+
+
+@query("filled_position_groups", "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 2 THEN 'MID' WHEN c_nationkey % 4 = 0 THEN 'GK' WHEN c_nationkey % 4 = 1 THEN 'DEF' ELSE 'OTHER' END AS position_group FROM customer")
+def filled_position_groups(t):
+    c = t("customer").select("c_custkey", F.expr("CASE c_nationkey % 3 WHEN 1 THEN 'none' WHEN 2 THEN 'MID' END").alias("position_group"), F.expr(_POSITIONS).alias("position"))
+    return scoring.fill_position_group(c).select("c_custkey", "position_group")
 
 
 @query("teacher_rating")

@@ -88,7 +88,48 @@ def test_first_component(spark):
 
 def test_prune_correlated(spark):
     df = spark.createDataFrame([(float(i), float(2 * i), float(i % 3), 1.0) for i in range(30)], "a double, b double, c double, d double")
-    assert linalg.prune_correlated(df, ["a", "b", "c", "d"], {"a": 1.0, "b": 2.0}) == ["b", "c"]
+    z = cluster.standardised(df, ["a", "b", "c", "d"], "")
+    assert linalg.prune_correlated(z, ["a", "b", "c", "d"], {"a": 1.0, "b": 2.0}) == (["b", "c"], {"d": "near_zero_variance", "a": "high_correlation_with_b"})
+
+
+def test_prune_skips_places(spark):
+    """Once a column has gone, as many columns behind a later one aren't compared with it."""
+    r = np.random.default_rng(3).standard_normal((60, 3))
+    df = spark.createDataFrame([(i, *map(float, (a, 2 * a, b, -b, c))) for i, (a, b, c) in enumerate(r)], "id long, a double, b double, c double, d double, e double")
+    z = cluster.standardised(df, ["a", "b", "c", "d", "e"], "")
+    # a takes b away; c then starts two places behind itself, at e, so d is never compared with it
+    assert linalg.prune_correlated(z, ["a", "b", "c", "d", "e"], {"a": 1.0}) == (["a", "c", "d", "e"], {"b": "high_correlation_with_a"})
+    assert linalg.prune_correlated(z, ["c", "d", "a", "e"], {"d": 1.0}) == (["d", "a", "e"], {"c": "high_correlation_with_d"})
+
+
+def test_kmeans_starts(spark):
+    r = np.random.default_rng(5)
+    at = np.array([[0.0, 0.0], [8.0, 0.0], [0.0, 8.0], [8.0, 8.0]])
+    rows = [(i, *map(float, at[i % 4] + 0.3 * r.standard_normal(2))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    out, facts = cluster.kmeans_scan(df, "id", ["x", "y"], 2, 6)
+    assert facts["k"] == 4 and facts["silhouette"] > 0.9
+    found = {x["id"]: x["cluster_id"] for x in out.collect()}
+    assert len({(i % 4, c) for i, c in found.items()}) == 4
+
+
+def test_embedding_ranks_and_prunes(spark):
+    """Of eight columns, a copy and a constant go; a sentinel and an infinity are missing values."""
+    from plumbline.plans import player_style
+
+    r = np.random.default_rng(9).standard_normal((50, 6))
+    names = ["goals", "shots", "dribbles", "passes", "xg", "xa"]
+    df = spark.createDataFrame([(i, *map(float, v), float(3 * v[0]), 1.0) for i, v in enumerate(r)], "id long, " + ", ".join(f"{n} double" for n in [*names, "twin", "flat"]))
+    e = player_style.embed(df, [*names, "twin", "flat"], {"goals": 2.0, "twin": 1.0})
+    assert e.gone == {"flat": "near_zero_variance", "twin": "high_correlation_with_goals"} and sorted(e.final) == sorted(names) == sorted(e.kept)
+    z = (r - r.mean(0)) / r.std(0)
+    values, vectors = np.linalg.eigh(z.T @ z / len(z))
+    want = np.abs(vectors) @ (values / values.sum())
+    near([e.loading[n] for n in names], want.tolist())
+    share = np.cumsum(np.sort(values)[::-1]) / values.sum()
+    assert len(e.dims) == int((share < 0.85).sum()) + 1
+    raw = spark.createDataFrame([(1, 90.0, -1.0), (2, 90.0, float("inf")), (3, 90.0, 4.0)], "id long, minutes_played_overall double, goals_per_90_overall double")
+    assert col(player_style.cleaned(raw, {"goals"}).select("id", "goals_per_90_overall"), "goals_per_90_overall") == [None, None, 4.0]
 
 
 def test_profile_with_zero_weights(spark):
@@ -224,3 +265,67 @@ def test_sources(spark, tmp_path):
     io.write_table(df, f"file://{tmp_path}/out", ["r"], 2)
     assert io.read_table(spark, f"file://{tmp_path}/out", ["b", "absent"]).columns == ["b"]
     assert io.unique_names(["A", "a", "b"]) == ["A", "b"]
+
+
+def test_quantiles_by_ranges(spark, monkeypatch):
+    """Exact quantiles, ranks and scores are the same whether groups fit into tasks or not."""
+    r = np.random.default_rng(2)
+    rows = [(i, "abc"[i % 3] if i % 11 else None, float(v) if i % 13 else None) for i, v in enumerate(np.round(r.standard_normal(900), 1))]
+    df = spark.createDataFrame(rows, "id long, g string, x double")
+    for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+        one = stats.range_quantiles(df, {"q": (F.col("x"), p)}).first()["q"]
+        near([one], [float(np.quantile([v for *_, v in rows if v is not None], p))])
+        by = {k["_key_0"]: k["q"] for k in stats.range_quantiles(df, {"q": (F.col("x"), p)}, ["g"]).collect()}
+        for g in ("a", "b", "c", None):
+            near([by[g]], [float(np.quantile([v for _, h, v in rows if h == g and v is not None], p))])
+    small = col(stats.calibrated_scores(df, {"s": "x"}, ["g"]), "s"), col(stats.percentile_ranks(df, "x", "r", ["g"]), "r"), col(stats.shrink_by_volume(df, {"s": "x"}, "id", ["g"]), "s")
+    monkeypatch.setattr(stats, "LARGE", 100)
+    large = col(stats.calibrated_scores(df, {"s": "x"}, ["g"]), "s"), col(stats.percentile_ranks(df, "x", "r", ["g"]), "r"), col(stats.shrink_by_volume(df, {"s": "x"}, "id", ["g"]), "s")
+    for a, b in zip(small, large):
+        near(a, b)
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([(1, None, "Striker"), (2, "none", "Goalkeeper"), (3, "MID", None), (4, "FWD", "Defender")], "id long, position_group string, position string")
+    assert col(scoring.fill_position_group(df), "position_group") == ["OTHER", "GK", "MID", "OTHER"]
+    assert col(scoring.fill_position_group(df.drop("position_group", "position")), "position_group") == ["OTHER"] * 4
+    assert col(scoring.of_positions(df, ["gk", "fwd"]), "id") == [1, 2]
+    assert col(scoring.of_positions(df, "mid"), "id") == [3]
+    assert scoring.of_positions(df.drop("position", "position_group"), "GK").count() == 4
+    assert scoring.normalised({"a": 1.0, "b": 3.0}) == {"a": 0.25, "b": 0.75} and scoring.normalised({"a": 0.0}) == {"a": 0.0}
+
+
+def test_empty_matches(spark):
+    from plumbline.plans import matching as plan
+
+    assert plan.empty_matches(spark).columns == serve.MATCH_COLUMNS
+    assert plan.empty_matches(spark, ["wide_play"], True).columns == [*serve.MATCH_COLUMNS, "best_fit_dimensions", "weak_fit_dimensions", "dimension_gap_wide_play"]
+
+
+def test_reads_are_checked(spark):
+    t = {"base_scores": spark.createDataFrame([(1, "x")], "player_id long, season string").withColumns({c: F.lit(None).cast("string") for c in serve.SCORE_COLUMNS if c not in ("player_id", "season")})}
+    assert serve.READS["player"](t, player_id=1).columns == serve.SCORE_COLUMNS
+    with pytest.raises(serve.NotFound):
+        serve.READS["player"](t, player_id=2)
+    with pytest.raises(ValueError):
+        serve.READS["players"](t, 101)
+    with pytest.raises(serve.MissingTable):
+        serve.READS["team_clusters"](t)
+    with pytest.raises(TypeError):
+        serve.READS["players"](t, role="FW")
+
+
+def test_training(spark):
+    from plumbline.plans import training
+
+    r = np.random.default_rng(4)
+    rows = [(i, f"{2015 + i % 5}/{2016 + i % 5}", ["Goalkeeper", "Defender", "Striker"][i % 3], 90.0 * (1 + i % 30), 1.0 + i % 30, *map(float, r.standard_normal(3))) for i in range(600)]
+    df = spark.createDataFrame(rows, "player_row_id long, season string, position string, minutes_played_overall double, appearances_overall double, goals_per_90_overall double, assists_per_90_overall double, conceded_per_90_overall double")
+    parts = {"attack_score": [("goals_per_90_overall", 1.0)], "conceded_score": [("conceded_per_90_overall", -1.0)], "rare_score": [("assists_per_90_overall", 1.0)]}
+    allowed = {b: ["attack_score", "conceded_score"] for b in ("GK", "DEF", "MID", "FWD", "OTHER")} | {"GK": ["conceded_score", "rare_score"]}
+    found, registry = training.train(df, "player_row_id", parts, allowed, least=300, trees=5)
+    assert sorted(found) == ["attack_score", "conceded_score", "rating_pred"]
+    rows = {x["target"]: x for x in registry.collect()}
+    assert rows["base_attack_score"]["feature_cols"] == ["goals_per_90_overall", "position", "position_group", "season"] and rows["base_attack_score"]["n_valid"] == 160
+    document = training.registry_document(registry).first()
+    assert document["main_target"] == "rating_pred" and set(document["trained_targets"]) == {f"base_{t}" for t in found} and all(m["metrics"]["rmse_valid"] > 0 for m in document["models"])
