@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import Expr, clean_number, clip, col, nonzero, ranked
-from plumbline.functions.names import leaks
+from plumbline.functions.names import NON_FEATURES, is_count, leaks
 from plumbline.operators.stats import LARGE, quantile, range_quantiles, with_stats
 from plumbline.sources.scratch import materialise
 
@@ -233,9 +233,9 @@ def feature_audit(df: DataFrame, columns: Sequence[str], excluded: Sequence[str]
     return t.select("feature_name", (reason == USABLE).cast("int").alias("selected"), F.col("n").alias("usable_count"), F.col("u").alias("unique_count"), reason.alias("reason"))
 
 
-def select_features(df: DataFrame, identifiers: Sequence[str]) -> tuple[list[str], DataFrame]:
-    """Columns that are usable numbers, neither identifiers nor leaks, and the audit of all but the identifiers."""
+def select_features(df: DataFrame, identifiers: Sequence[str] = (*NON_FEATURES, "player_row_id")) -> tuple[list[str], DataFrame]:
+    """Columns that are usable numbers, neither identifiers, leaks nor counts, and the audit of all but the identifiers."""
     columns = [c for c in df.columns if c not in identifiers]
-    audit = feature_audit(df, columns, [c for c in columns if leaks(c)])
+    audit = feature_audit(df, columns, [c for c in columns if leaks(c) or is_count(c)])
     chosen = {r["feature_name"] for r in audit.where("selected = 1").select("feature_name").collect()}  # a row a column
     return [c for c in columns if c in chosen], audit

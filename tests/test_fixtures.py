@@ -329,3 +329,13 @@ def test_training(spark):
     assert rows["base_attack_score"]["feature_cols"] == ["goals_per_90_overall", "position", "position_group", "season"] and rows["base_attack_score"]["n_valid"] == 160
     document = training.registry_document(registry).first()
     assert document["main_target"] == "rating_pred" and set(document["trained_targets"]) == {f"base_{t}" for t in found} and all(m["metrics"]["rmse_valid"] > 0 for m in document["models"])
+
+
+def test_model_features():
+    columns = ["player_id", "goals_per_90_overall", "goals_overall", "passes_total_overall", "annual_salary_eur", "xg_rate_overall", "wide_play", "latent_style_dim_1", "average_rating_overall", "shots_home"]
+    assert names.model_features(columns) == ["goals_per_90_overall", "xg_rate_overall", "latent_style_dim_1"]
+
+
+def test_display_columns():
+    columns = ["Player_ID", "attack_score", "attack_score_score_pct", "goals_per_90_overall", "goals_overall", "games_started", "season", "xg", "rating_score_sigmoid"]
+    assert names.display_columns(columns) == ["Player_ID", "attack_score_score_pct", "goals_overall", "games_started", "season", "rating_score_sigmoid"]
