@@ -128,7 +128,7 @@ def _split(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[joins + 1] = False
     pieces.cut_endings(raw, off, new, np.flatnonzero((raw == ord("'")) & new))
     starts = np.flatnonzero(new)
-    return starts, np.append(starts[1:], n)
+    return starts, np.append(starts[1:], n)[: len(starts)]
 
 
 class ByteBPE:

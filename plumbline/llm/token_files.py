@@ -38,7 +38,7 @@ def _split(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[off[:-1][off[:-1] < n]] = True
     pieces.cut_endings(raw, off, new, np.flatnonzero((raw == ord("'")) & new))
     starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], n)
+    ends = np.append(starts[1:], n)[: len(starts)]
     word = kind[starts] != pieces.SPACE
     return starts[word], ends[word]
 

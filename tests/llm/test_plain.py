@@ -129,3 +129,45 @@ def test_recall_at_the_bits_of_large_tables(spark, monkeypatch, rows):
     got = {x["vec_id"]: x["component_id"] for x in neardup_vectors.near_duplicates(df).collect()}
     found = sum(got[2 * i + 1] == 2 * i for i in range(150))
     assert found >= 0.9 * 150 and bits >= (12 if rows < 10**6 else 15)
+
+
+def test_slices_of_empty_texts():
+    from plumbline.llm.bpe import ByteBPE
+    from plumbline.llm.queries import tokenizer
+    from plumbline.llm.token_files import _Encoder
+
+    words, pieces_ = _Encoder(tokenizer("word_bpe_49k.json")), ByteBPE(tokenizer("byte_bpe_50k.json"))
+    assert words(["", ""]) == pieces_.encode_all(["", ""]) == [b"", b""] and words([" ", ""]) == [b"", b""]
+
+
+def test_splits_alike():
+    """Pieces of texts of all plain characters, against the library on whole texts."""
+    from tokenizers import Tokenizer
+
+    from plumbline.llm.bpe import ByteBPE
+    from plumbline.llm.queries import tokenizer
+    from plumbline.llm.token_files import _Encoder
+
+    r = random.Random(4)
+    every = [chr(c) for c in range(0x180)] + list("\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac") + ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "  ", "\t\n", "\x85", "\u4e2d", "<|endoftext|>", "Word"]
+    few = list("ab1 '\n\t!?\u00e9") + ["  ", "'s", "'re", " '"]
+    for name, code in (("word_bpe_49k.json", _Encoder(tokenizer("word_bpe_49k.json"))), ("byte_bpe_50k.json", ByteBPE(tokenizer("byte_bpe_50k.json")).encode_all)):
+        own = Tokenizer.from_file(tokenizer(name))
+        own.no_truncation()
+        own.no_padding()
+        texts = ["".join(r.choice(k) for _ in range(r.randrange(20))) for k in (every, every[:128], few) for _ in range(500)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in code(texts)]
+        assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pair_tests_hold_for_merges():
+    """The walk by rank agrees with merging the joint bytes."""
+    from plumbline.llm.bpe import ByteBPE
+    from plumbline.llm.queries import tokenizer
+
+    bpe, r = ByteBPE(tokenizer("byte_bpe_50k.json")), random.Random(1)
+    tokens = [t for t in bpe.bytes if t < 50256]
+    assert bpe.by_rank
+    for _ in range(5000):
+        a, b = r.choice(tokens), r.choice(tokens)
+        assert bpe.compatible(a, b) == (bpe.merged(bpe.bytes[a] + bpe.bytes[b]) == [a, b])
