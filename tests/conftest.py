@@ -7,4 +7,5 @@ from compare import session
 def spark():
     s = session(4)
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "3")  # tables of tests are tiny
     return s
