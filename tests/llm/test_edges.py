@@ -154,6 +154,13 @@ def test_token_files(spark, docs, none, rows, tmp_path):
     assert token_files.layout(token_files.read(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_files_are_placed_by_their_ids(spark):
+    """Names of over 100,000 files don't sort like their numbers."""
+    rows = [(None, [1], "part-98000"), (1, [1, 2], "part-98000"), (5, [3], "part-99999"), (7, [4, 5, 6], "part-100000"), (8, [7], "part-100001")]
+    got = token_files.layout(spark.createDataFrame(rows, "doc_id long, tokens array<int>, file string")).collect()
+    assert {r["doc_id"]: r["start"] for r in got} == {None: 0, 1: 1, 5: 3, 7: 4, 8: 7}
+
+
 def test_tokens_of_whole_texts(spark):
     from tokenizers import Tokenizer
 
