@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import linear_score, position_bucket, rating
 from plumbline.operators.linalg import component_scores
 from plumbline.operators.stats import calibrated_scores, percentile_ranks, shrink_by_volume, z_scores
-from plumbline.sources.io import unique_names
+from plumbline.sources.io import drop_empty, read_table, unique_names
 
 #: Columns of each component and their weights (negative: less is better).
 COMPONENTS: dict[str, list[tuple[str, float]]] = {
@@ -40,6 +40,9 @@ CLUBS = ["current club", "current_club", "Current Club", "club", "club_name", "t
 RATINGS = ["average_rating_overall", "rating", "rating_overall", "rating_pred"]
 
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def choose_position(df: DataFrame, candidates: Sequence[str] = ("position_group", "position"), wanted: Sequence[str] | None = None) -> str | None:
     """The candidate column with the most buckets (of those ``wanted``, if given) recognised in it; OTHER doesn't count,
     and of equals the first is taken."""
@@ -86,6 +89,29 @@ def derived(df: DataFrame, minutes: str = "minutes_played_overall", games: str =
     return df
 
 
+def feature_matrix(df: DataFrame, drop: Sequence[str] = ("player_id", "full_name"), numeric_only: bool = False, positions: str | Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``positions`` (None: all) with the columns that hold values and the derived ones, without ``drop``."""
+    out = drop_empty(df if positions is None else of_positions(df, positions))
+    out = derived(out).drop(*drop)
+    return out.select(*[f"`{c}`" for c, k in out.dtypes if k in NUMBERS or k.startswith("decimal")]) if numeric_only else out
+
+
+def load_feature_matrix(spark: SparkSession, path: str, **how) -> tuple[DataFrame, list[str]]:
+    """:func:`feature_matrix` of a table, and the names of its columns."""
+    out = feature_matrix(read_table(spark, path), **how)
+    return out, out.columns
+
+
+def load_ratings(spark: SparkSession, path: str, **how) -> DataFrame:
+    """:func:`teacher_rating` of a table."""
+    return teacher_rating(read_table(spark, path), **how)
+
+
+def load_targets(spark: SparkSession, path: str, **how) -> DataFrame:
+    """:func:`targets` of a table with its derived columns."""
+    return targets(derived(read_table(spark, path)), **how)
+
+
 def targets(df: DataFrame, components: Mapping[str, Sequence[tuple[str, float]]] = COMPONENTS, allowed: Mapping[str, Sequence[str]] = ALLOWED, groups: Sequence[str] = ("season", "position_bucket"), minutes: str = "minutes_played_overall", positions: Sequence[str] = ("position_group", "position"), shrink: bool = True, z: bool = True, percentile: bool = False, scale: float = 10.0, unshrunk: Sequence[str] = ("appearance_score",), league: bool = False) -> DataFrame:
     """Add each component's score and ``position_bucket``.
 

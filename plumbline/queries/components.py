@@ -181,3 +181,9 @@ def group_stats_null_keys(t):
     c = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("g"), F.col("c_acctbal").alias("x"))
     out = stats.with_stats(c, ["g"], {"mean": F.avg("x"), "n": F.count("x")})
     return rounded(out.select("c_custkey", "g", "mean", "n"), "mean")
+
+
+@query("feature_matrix", "SELECT c_custkey AS row_number, c_acctbal AS minutes_played_overall, c_nationkey AS appearances_overall, " + sr("c_acctbal / 90") + " AS nineties, " + sr("c_acctbal / nullif(c_nationkey, 0)") + " AS minutes_per_appearance FROM customer WHERE c_nationkey % 4 = 1")
+def feature_matrix(t):
+    c = t("customer").select(F.col("c_custkey").alias("row_number"), F.col("c_custkey").alias("player_id"), F.col("c_name").alias("full_name"), F.col("c_acctbal").alias("minutes_played_overall"), F.col("c_nationkey").alias("appearances_overall"), F.lit(None).cast("double").alias("tackles_per_90_overall"), F.expr(_POSITIONS).alias("position"))
+    return rounded(scoring.feature_matrix(c, numeric_only=True, positions="def"), "nineties", "minutes_per_appearance")

@@ -7,7 +7,7 @@ where the order falls and first where it rises.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +132,36 @@ READS: dict[str, Read] = {
 STATS = {"player_style_profiles": "player_style_cards", "team_style_profiles": "team_style_clusters", "predicted_players": "ml_player_predicted_team_style", "predicted_teams": "ml_team_profile_predicted_style", "realistic_matches": "player_realistic_team_matches", "top_player_matches": "player_top_team_matches", "team_player_matches": "team_top_player_matches", "club_audit_entries": "current_club_match_audit"}
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Where result tables are (a folder with one Parquet table each), and the limits of reads."""
+
+    folder: str
+    default_limit: int = LIMIT
+    most: int = 50
+
+    @classmethod
+    def of(cls, values: Mapping[str, str]) -> Settings:
+        """From texts by name, such as environment variables: ``folder``, ``default_limit``, ``most``."""
+        return cls(values["folder"], int(values.get("default_limit", LIMIT)), int(values.get("most", 50)))
+
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """The tables of :data:`READS` and the model's that are there."""
+        out = {}
+        for name in {*(r.table for r in READS.values()), "ml_model_quality", "ml_experiment_summary"}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                out[name] = spark.read.parquet(f"{self.folder}/{name}")
+        return out
+
+    def read(self, spark: SparkSession, name: str, limit: int | None = None, **given) -> DataFrame:
+        """A read of :data:`READS` over these tables, within these limits."""
+        r = READS[name]
+        if r.most is not None and not r.strict:
+            r = replace(r, most=self.most)
+        return r(self.tables(spark), self.default_limit if limit is None and r.most is not None else limit, **given)
+
+
 def player_matches(tables: Mapping[str, DataFrame], player_id, season=None, realistic: bool = True, limit: int | None = None) -> DataFrame:
     """Best matches of a player, from the realistic ones unless told otherwise."""
     return READS["realistic_matches" if realistic else "top_matches"](tables, limit, player_id=player_id, season=season)

@@ -339,3 +339,15 @@ def test_model_features():
 def test_display_columns():
     columns = ["Player_ID", "attack_score", "attack_score_score_pct", "goals_per_90_overall", "goals_overall", "games_started", "season", "xg", "rating_score_sigmoid"]
     assert names.display_columns(columns) == ["Player_ID", "attack_score_score_pct", "goals_overall", "games_started", "season", "rating_score_sigmoid"]
+
+
+def test_settings(spark, tmp_path):
+    spark.createDataFrame([(f"x{i}", i % 3) for i in range(60)], "role string, cluster_id int").write.parquet(f"file://{tmp_path}/player_cluster_summary")
+    spark.createDataFrame([(i, f"n{i}", float(i)) for i in range(60)], "player_id long, full_name string, minutes_played_overall double").write.parquet(f"file://{tmp_path}/player_style_cards")
+    own = serve.Settings.of({"folder": f"file://{tmp_path}", "default_limit": "7", "most": "30"})
+    assert sorted(own.tables(spark)) == ["player_cluster_summary", "player_style_cards"]
+    assert own.read(spark, "player_style_search").count() == 7 and own.read(spark, "player_style_search", 100).count() == 30
+    assert own.read(spark, "player_clusters").count() == 60
+    with pytest.raises(serve.MissingTable):
+        own.read(spark, "team_clusters")
+    assert not serve.health(spark, own.tables(spark)).first()["scores_exist"]
