@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, scratch
+from plumbline.llm.common import components, partitions, scratch
 
 
 def plan_tables(rows: int, cosine: float, miss: float = 5e-4, per_bucket: int = 24) -> tuple[int, int]:
@@ -32,7 +32,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
     that share an id are one node.  No pair below the threshold is linked; a pair at it is missed with the chance
     that :func:`plan_tables` states, a closer one less often.  A table gets a vector as 16-bit numbers with a bound of
     what they are off by; pairs for which that leaves a doubt are decided by the vectors themselves.  Crowded buckets
-    are cut into blocks that meet in pairs, so no task holds more than two blocks; as every link is counted, work on a
+    are cut into blocks that meet in pairs, known by 64-bit hashes; a group in a task is some such cells, of two blocks
+    at most each; as every link is counted, work on a
     crowd of really near vectors is that of its pairs.  Other columns aren't looked at.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -81,16 +82,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "w", "short", "step", "off", "hashes")
+        .withColumn("cell", F.xxhash64(*bucket, "i", "j"))
+        .select("cell", "t", "i", "j", "own", "c", "w", "short", "step", "off", "hashes")
     )
 
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t = int(key[2])
-        rows = rows.sort_values("c", kind="stable")
-        x = np.frombuffer(b"".join(rows["short"]), dtype="<i2").reshape(len(rows), -1) * rows["step"].to_numpy()[:, None]
-        off = rows["off"].to_numpy() + 1e-12
-        hashes = np.frombuffer(b"".join(rows["hashes"]), dtype=f"<u{width}").reshape(len(rows), -1)
-        ids, weight, own = rows["c"].to_numpy(), rows["w"].to_numpy(), rows["own"].to_numpy()
-        i, j = int(key[4]), int(key[5])
+    def meet(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Of one cell: classes with links or a smaller near one as root, and pairs that are in doubt."""
+        t, i, j, own, ids, weight = int(rows["t"][0]), rows["i"][0], rows["j"][0], rows["own"], rows["c"], rows["w"]
+        x = np.frombuffer(b"".join(rows["short"]), dtype="<i2").reshape(len(ids), -1) * rows["step"][:, None]
+        off = rows["off"] + 1e-12
         a = np.flatnonzero(own == i)
         b = a if i == j else np.flatnonzero(own == j)
         near = x[a] @ x[b].T
@@ -101,16 +101,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
         p, q = a[p], b[q]
         # a pair belongs to the first table in which it meets
         once = p < q if i == j else np.ones(len(p), bool)
-        if t:
+        if t and once.any():
+            hashes = np.frombuffer(b"".join(rows["hashes"]), dtype=f"<u{width}").reshape(len(ids), -1)
             once &= ~(hashes[p, :t] == hashes[q, :t]).any(1)
-        ask = once & ~sure
-        unsure = pd.DataFrame({"c": ids[p[ask]], "other": ids[q[ask]], "links": 0, "root": 0})
+        ask, new = once & ~sure, once & sure
         # links count once; what is surely near joins a group in whatever table
-        links = np.zeros(len(rows), dtype=np.int64)
-        np.add.at(links, p[once & sure], weight[q[once & sure]])
-        np.add.at(links, q[once & sure], weight[p[once & sure]])
+        links = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(links, p[new], weight[q[new]])
+        np.add.at(links, q[new], weight[p[new]])
+        asked = ids[p[ask]], ids[q[ask]]
         p, q = p[sure], q[sure]
-        root = np.arange(len(rows))
+        root = np.arange(len(ids))
         while len(p):
             low = np.minimum(root[p], root[q])
             was = root.copy()
@@ -119,10 +120,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
             root = root[root]
             if (root == was).all():
                 break
-        out = (links > 0) | (root != np.arange(len(rows)))
-        return pd.concat([pd.DataFrame({"c": ids[out], "other": ids[out], "links": links[out], "root": ids[root[out]]}), unsure])
+        out = (links > 0) | (root != np.arange(len(ids)))
+        return ids[out], links[out], ids[root[out]], *asked
 
-    found = scratch(cells.groupBy(*bucket, "i", "j").applyInPandas(verify, "c long, other long, links long, root long"), "links")
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        """Many cells at once: Python's cost a group would be more than that of a small cell's pairs."""
+        rows = rows.sort_values(["cell", "c"], kind="stable")
+        columns = {n: rows[n].to_numpy() for n in rows.columns}
+        cut = [0, *(np.flatnonzero(np.diff(columns["cell"])) + 1).tolist(), len(rows)]
+        parts = [meet({n: v[lo:hi] for n, v in columns.items()}) for lo, hi in zip(cut[:-1], cut[1:])]
+        c, links, root, one, two = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        none = np.zeros(len(one), np.int64)
+        return pd.DataFrame({"c": np.concatenate([c, one]), "other": np.concatenate([c, two]), "links": np.concatenate([links, none]), "root": np.concatenate([root, none])})
+
+    groups_ = max(partitions(spark), -(-classes.count() * tables // 8192))
+    found = scratch(cells.groupBy(F.pmod("cell", F.lit(groups_))).applyInPandas(verify, "c long, other long, links long, root long"), "links")
     # pairs within what short numbers can be off by: the vectors themselves decide
     side = lambda n: hashed.select(F.col("c").alias(n), F.col("w").alias(f"w{n}"), F.col("unit").alias(f"x{n}"))
     unsure = found.where("c <> other").select(F.col("c").alias("a"), F.col("other").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
