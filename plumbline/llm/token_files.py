@@ -50,7 +50,7 @@ class _Encoder:
     Where the tokenizer composes, lower-cases and splits as :func:`_split` does, plain texts that spell no special token
     are split so, known by 64-bit hashes and put together in whole slices; other texts are cut at ASCII white space."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         from plumbline.llm.bpe import byte_letters
@@ -109,7 +109,7 @@ def _opened(path: str) -> _Encoder:
     return _OPEN[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "text", record: str = "doc_id", chunk: int = 1 << 21) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end: int | None = 2, text: str = "text", record: str = "doc_id", chunk: int = 1 << 20) -> DataFrame:
     """Rows ``doc_id`` (as ``record`` is named) and ``tokens`` (array of int) with ``end`` appended to each.
 
     A null text is an empty one.  ``tokenizer`` is the path of a ``tokenizers`` JSON file that every executor has.  Rows

@@ -90,7 +90,7 @@ class Places:
         have = len(self.keys)
         self.keys = np.concatenate([self.keys, keys.astype(np.uint64)])
         if 4 * len(self.keys) > len(self.slots) or not self.bits:
-            self.bits, have = max(10, int(8 * len(self.keys)).bit_length()), 0
+            self.bits, have = max(10, int(4 * len(self.keys)).bit_length()), 0
             self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
         left = np.arange(have, len(self.keys), dtype=np.int32)
         at = self._home(self.keys[have:])
