@@ -48,7 +48,7 @@ def cut_endings(raw: np.ndarray, off: np.ndarray, new: np.ndarray, quotes: np.nd
 class Memory:
     """Ids of pieces that were seen; all are forgotten where they are more than ``most``."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 600_000):
         self.encode, self.most = encode, most
         self.forget()
 

@@ -50,7 +50,7 @@ class _Encoder:
     Where the tokenizer composes, lower-cases and splits as :func:`_split` does, plain texts that spell no special token
     are split so, known by 64-bit hashes and put together in whole slices; other texts are cut at ASCII white space."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         from plumbline.llm.bpe import byte_letters
