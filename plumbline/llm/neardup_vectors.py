@@ -75,10 +75,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, record: str = "vec
     # one row for each table: the hash of table t is its t-th little-endian integer; of the vector only 16-bit numbers go
     dealt = hashed.drop("unit").select("*", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).withColumn("h", F.expr(f"substring(hashes, t * {width} + 1, {width})"))
     bucket = ["label", "dim", "t", "h"]
-    crowds = dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    # few buckets are crowds; written, so that Spark broadcasts them where it measures them as small
+    crowds = scratch(dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > block), "crowds")
     cells = (
-        dealt.join(crowds, bucket)
-        .withColumn("blocks", F.ceil(F.col("crowd") / block).cast("int"))
+        dealt.join(crowds, bucket, "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("crowd") / block).cast("int"), F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "w", "short", "step", "off", "hashes")
