@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, jaccard, langid, mixing, neardup_vectors, quality, secrets, sharding, substrings, token_files
+from plumbline.llm import bpe, jaccard, langid, mixing, neardup_vectors, periodic_runs, quality, secrets, sharding, substrings, token_files, vector_codes, warc
+from plumbline.llm.common import WORD
 from plumbline.sources.scratch import new_path, remove
 
 
@@ -93,6 +94,42 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, in a tenth of them (by the checksum of the id) with a repeated unit of words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    n = F.size("w")
+    placed = chosen.where("size(w) > 0").withColumn("a", (F.col("g") % n).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), n - F.col("a") - 1), lambda i: F.element_at("w", F.col("a") + i % F.col("p") + 1))
+    planted = placed.select("doc_id", F.array_join(F.concat(F.slice("w", 1, F.col("a")), tail), " ").alias("text"))
+    return chosen.where("coalesce(size(w), 0) <= 0").select("doc_id", "text").unionByName(planted)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    every = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    facts = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), digest(every).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    length = -F.col("top.less")
+    return facts.select("doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"), F.floor(1000 * length / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.resolve(warc.read(spark, path))  # reads the archives once, now
+    remove(path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,6 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_substrings": op10_substrings,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
 
@@ -184,4 +224,48 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut.places), 0)::BIGINT
 FROM d LEFT JOIN cut USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_embeddings": _OP4, "op7_jaccard": _OP7, "op9_secrets": _op9(), "op10_substrings": _OP10}
+
+
+def _op11() -> str:
+    near = lambda n: f"""a{n} AS MATERIALIZED (SELECT k, p, x, m[2] AS e, m[1] AS error FROM (SELECT k, p, any_value(x) AS x, min([d, e]) AS m FROM (
+  SELECT v.k, v.p, v.x, c.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v JOIN c{n} c ON c.p = v.p) GROUP BY k, p))"""
+    moved = lambda n: f"""s{n} AS (SELECT p, e, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY p, e, i),
+c{n + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{n} GROUP BY p, e) m USING (p, e))"""
+    return f"""
+WITH u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS MATERIALIZED (SELECT k, p, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS x FROM (SELECT k, x, unnest(range(16)) AS p FROM u)),
+c0 AS MATERIALIZED (SELECT p, k - 1 AS e, x FROM v WHERE k <= 64),
+{near(0)}, {moved(0)}, {near(1)}, {moved(1)}, {near(2)},
+t AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(error)::BIGINT AS error FROM a2 GROUP BY k),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM u JOIN t USING (k), h
+"""
+
+
+_OP12 = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b::BIGINT], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+o AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, crc),
+p AS (SELECT k, doc_id, w, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM o),
+d AS MATERIALIZED (SELECT k, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // parts) + 1] END) END AS w FROM p),
+x AS MATERIALIZED (SELECT k, n, i, hash(s) AS s FROM (SELECT k, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS s FROM d WHERE len(w) >= 6)),
+e AS (SELECT y.k, y.i, z.i - y.i AS q FROM x y JOIN x z ON z.k = y.k AND z.s = y.s AND z.i > y.i AND 4 * (z.i - y.i) <= y.n),
+g AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS g FROM e),
+l AS MATERIALIZED (SELECT k, q, min(i) AS a, max(i) + 1 + q AS b FROM g GROUP BY k, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT k, q, a, b FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.k = l.k AND m.q < l.q AND l.q % m.q = 0 AND m.a <= l.a AND m.b >= l.b)),
+f AS (SELECT k, count(*) AS n, min([a - b, a, q]) AS top, string_agg(a || ',' || (b - a) || ',' || q || chr(10), '' ORDER BY a, q) AS lines FROM r GROUP BY k),
+gone AS (SELECT k, list(place) AS places FROM (SELECT DISTINCT k, unnest(range(a + q, b)) AS place FROM r) GROUP BY k)
+SELECT doc_id, coalesce(f.n, 0)::BIGINT AS n_runs, top[2]::BIGINT AS start, -top[1]::BIGINT AS length, top[3]::BIGINT AS period, (1000 * -top[1] // top[3])::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i - 1)) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (k) LEFT JOIN gone USING (k)
+"""
+
+_OP13 = """
+WITH p AS MATERIALIZED (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS low FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN low IS NOT NULL AND page_id IS DISTINCT FROM low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
+FROM p LEFT JOIN f USING (h)
+"""
+
+SQL: dict[str, str] = {"op4_embeddings": _OP4, "op7_jaccard": _OP7, "op9_secrets": _op9(), "op10_substrings": _OP10, "op11_vector_codes": _op11(), "op12_periodic_runs": _OP12, "op13_warc": _OP13}
