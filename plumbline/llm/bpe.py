@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import pieces
+from plumbline.llm.common import map_rows, named
 from plumbline.llm.wordhash import flat_bytes
 
 #: Fixed value: the split of texts into pieces, none of which a token crosses.
@@ -302,7 +303,7 @@ def _chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 def _mapped(df: DataFrame, source: str, fields: list[T.StructField], columns) -> DataFrame:
     kept = [c for c in df.columns if c.lower() not in {f.name for f in fields}]
-    df = df.select(*kept)
+    df = df.select(*named(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +312,7 @@ def _mapped(df: DataFrame, source: str, fields: list[T.StructField], columns) ->
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns(part.column(at).to_pylist())], names=[*kept, *[f.name for f in fields]])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return map_rows(df, run, T.StructType([*df.schema.fields, *fields]))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.sources.scratch import materialise, release
 
@@ -29,6 +33,25 @@ def spare(columns: list[str], name: str) -> str:
     return name
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, which may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, which by itself can't take names with dots."""
+    names = df.columns
+    if not any("." in c or "`" in c for c in names):
+        return df.mapInArrow(run, schema)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(plain.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

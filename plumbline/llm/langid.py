@@ -8,6 +8,7 @@ the end uniformly.  A document goes to the language whose trees give its whole t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import map_rows, named
 from plumbline.llm.wordhash import Places, by_bytes, flat_bytes
 
 _PAD = "   "
@@ -120,7 +122,7 @@ def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PPM | None:
 _OPEN: dict = {}
 
 
-def _index(model: PPM, key: int) -> tuple[Places, Places]:
+def _index(model: PPM, key: str) -> tuple[Places, Places]:
     """Hash tables of the triples and quadruples; once a worker."""
     if key not in _OPEN:
         _OPEN.clear()
@@ -169,10 +171,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: PPM | None, text: str
     none.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "bits_per_byte")]
-    docs = docs.select(*kept)
+    docs = docs.select(*named(kept))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     shared = spark.sparkContext.broadcast(model)
-    key = hash((id(model), shared.id if hasattr(shared, "id") else 0))
+    key = uuid.uuid4().hex  # of this model here: workers outlive it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -192,4 +194,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: PPM | None, text: str
                 per[known] = low
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(per, mask=~np.isfinite(per))], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)

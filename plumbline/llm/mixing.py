@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, scratch
+from plumbline.llm.common import WORD, named, scratch
 
 
 def cyclic_weights(sources: list[str | None], weights: tuple[float, ...] = (5, 2, 1)) -> list[float]:
@@ -48,7 +48,7 @@ def _counted(docs: DataFrame, seed: str, weights: Callable[[list], list[float]],
     spark = docs.sparkSession
     size = F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0))
     hashed = F.md5(F.concat(F.coalesce(F.col(record).cast("string"), F.lit("null")), F.lit(seed)))
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).cast("string").alias("s"), hashed.alias("h"), F.when(F.col(text).isNull(), 0).otherwise(size).cast("long").alias("size"))
+    sized = docs.select(F.struct(*named(docs.columns)).alias("row"), F.col(source).cast("string").alias("s"), hashed.alias("h"), F.when(F.col(text).isNull(), 0).otherwise(size).cast("long").alias("size"))
     # the queue: narrow rows, dealt by source and the leading digits of the shuffle hash
     narrow = scratch(sized.select("s", "h", "size"), "queue").groupBy("s", "h").agg(F.sum("size").alias("size"))
     queue = scratch(narrow, "queue")
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: Callable[[list], list[float
     a source's queue is cut into at least 256 buckets, of about ``rows_per_bucket`` / 8 rows of the largest source.
     """
     kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
-    out = _counted(docs.select(*kept), seed, weights, most, share, text, source, record, rows_per_bucket)
+    out = _counted(docs.select(*named(kept)), seed, weights, most, share, text, source, record, rows_per_bucket)
     return out.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import map_rows, named
 from plumbline.llm.wordhash import by_bytes, words_of
 
 #: Letters of a key, words searched at a time.
@@ -198,7 +199,7 @@ def find_runs(docs: DataFrame, text: str = "text", least: int = 6, times: int =
     if times < 4:
         raise ValueError("times must be 4 or more")
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "runs", "collapsed")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    docs = docs.select(*named(kept))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(_RUN)), T.StructField("collapsed", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,4 +217,4 @@ def find_runs(docs: DataFrame, text: str = "text", least: int = 6, times: int =
             spans = [[{"start": a, "length": b - a, "period": q} for a, b, q in runs] for runs in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(rows)), pa.array(spans, kind), pa.array(out, pa.string())], names=[*batch.schema.names, "n_words", "runs", "collapsed"])
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch
+from plumbline.llm.common import named, scratch
 
 _SPACES = " \t\n\x0b\x0c\r"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -62,7 +62,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
     count = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
-    d = docs.select(F.struct(*kept).alias("row"), t.alias("_t"))  # all that isn't ours is in row: names can't clash
+    d = docs.select(F.struct(*named(kept)).alias("row"), t.alias("_t"))  # all that isn't ours is in row: names can't clash
     d = d.select(
         "row",
         F.transform(F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_w"),

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import spare
+from plumbline.llm.common import named, spare
 
 #: A query: any of these sets of trigrams, all of a set; one empty set asks for nothing.
 Query = frozenset
@@ -170,7 +170,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = [(n, r) for n, r in enumerate(rules) if queries[r.kind] != ANYTHING]
     scanned = [(n, r) for n, r in enumerate(rules) if queries[r.kind] == ANYTHING]
-    docs = docs.select(*[c for c in docs.columns if c.lower() != "secrets"])
+    docs = docs.select(*named([c for c in docs.columns if c.lower() != "secrets"]))
     t = F.col(text).cast("string")
     keys = {"k1": F.xxhash64(t), "k2": F.hash(t)}
     rec = F.coalesce(F.col(record).cast("long"), F.xxhash64(t))
@@ -193,12 +193,12 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
     placed = placed.where(F.col("kept") >= least).select("k1", "k2", F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end").alias("s"))
     names = F.array(*[F.lit(r.kind) for r in rules])
     spans = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    named = F.transform("s", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    spans_named = F.transform("s", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     one, two = spare(docs.columns, "k1"), spare(docs.columns, "k2")
-    spans = spans.select(F.col("k1").alias(one), F.col("k2").alias(two), named.alias("secrets"))
+    spans = spans.select(F.col("k1").alias(one), F.col("k2").alias(two), spans_named.alias("secrets"))
     joined = docs.select("*", keys["k1"].alias(one), keys["k2"].alias(two)).join(spans, [one, two], "left")  # reads no text unless asked to
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return joined.select(*docs.columns, F.coalesce("secrets", none).alias("secrets"))
+    return joined.select(*named(docs.columns), F.coalesce("secrets", none).alias("secrets"))
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch
+from plumbline.llm.common import named, scratch
 
 #: A uniform draw in [0, 1) that a key and a round decide, so that reruns agree.
 _DRAW = 1 << 40
@@ -89,7 +89,7 @@ def shard(df: DataFrame, size: str, group: str, record: str, shards: int, ranges
     """
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_LEAST))
-    keyed = scratch(df.select(F.struct(*kept).alias("row"), key(group).alias("h"), key(record).alias("d"), F.col(size).cast("long").alias("size")), "shard")
+    keyed = scratch(df.select(F.struct(*named(kept)).alias("row"), key(group).alias("h"), key(record).alias("d"), F.col(size).cast("long").alias("size")), "shard")
     n, total = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     fair = max(1.0, total / shards)
     groups = keyed.groupBy("h").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("s") > slack * fair).collect()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import partitions, scratch, spare
+from plumbline.llm.common import map_rows, named, partitions, scratch, spare
 from plumbline.llm.packing import binaries, buckets_for, flat, pack, unpack
 from plumbline.llm.wordhash import _POW, by_bytes, mix, windows, words_of
 
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", record: str = "doc_id",
     no rows.  See :func:`spans` for order, ties and null ids.
     """
     own = {"n_words", "n_removed", "kept_text", "removed"}
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in own])
+    docs = docs.select(*named([c for c in docs.columns if c.lower() not in own]))
     facts, found = spans(docs, text, record, window, anchor)
     copies = facts.where((F.col("id") > F.col("first")) & (F.col("n_words") >= window)).select("key", "print", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")).distinct()
     nameless = facts.where((F.col("id") == _LAST) & (F.col("first") == _LAST)).select("key", "print").distinct()
@@ -241,4 +241,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", record: str = "doc_id",
             rest = [c for c, name in zip(batch.columns, batch.schema.names) if name != cuts_]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, kind)], names=[*[x for x in batch.schema.names if x != cuts_], "n_words", "n_removed", "kept_text", "removed"])
 
-    return joined.mapInArrow(apply, schema)
+    return map_rows(joined, apply, schema)

@@ -19,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import scratch, spare
+from plumbline.llm.common import map_rows, named, scratch, spare
 
 #: Integers below this in magnitude keep squared distances and their sums over parts within 64 bits.
 _NARROW = 2**27
@@ -222,7 +223,7 @@ def encode(vectors: DataFrame, books: Codebooks | None, embedding: str = "embedd
     replaced.  Rows stand alone, so repeated rows are coded alike; without codebooks or rows there are none.
     """
     kept = [c for c in vectors.columns if c.lower() not in ("code", "error")]
-    rows = vectors.select(*(F.col(f"`{c}`") for c in kept))
+    rows = vectors.select(*named(kept))
     trees = books.trees() if books else []
     x_ = spare(kept, "x")
 
@@ -241,10 +242,8 @@ def encode(vectors: DataFrame, books: Codebooks | None, embedding: str = "embedd
             over = pa.array([int(e) if e < 2**63 else None for e in error], pa.int64()) if error.dtype == object else pa.array(error)
             yield pa.RecordBatch.from_arrays([*rest[:at], *rest[at + 1 :], code, over], names=[*(c for c in batch.schema.names if c != x_), "code", "error"])
 
-    schema = rows.withColumns({"code": F.lit("x"), "error": F.lit(0).cast("long")}).schema
-    for field in schema.fields[-2:]:
-        field.nullable = True
-    return rows.withColumn(x_, F.col(f"`{embedding}`").cast("array<double>")).mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("code", T.StringType()), T.StructField("error", T.LongType())])
+    return map_rows(rows.withColumn(x_, F.col(f"`{embedding}`").cast("array<double>")), run, schema)
 
 
 def compress(vectors: DataFrame, embedding: str = "embedding", record: str = "vec_id", label: str = "label", parts: int = 16, entries: int = 64, rounds: int = 2) -> tuple[DataFrame, Codebooks | None]:

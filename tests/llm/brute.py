@@ -101,3 +101,76 @@ def vector_groups(rows, least=0.93):
 
 def crc(text):
     return zlib.crc32(utf8(text))
+
+
+def periodic_runs(w, least=6, times=4):
+    """Runs (start, length, period) by start, then period."""
+    n, out = len(w), []
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            a = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            b = i + q
+            if b - a >= max(least, times * q) and not any(x <= a and b <= x + m and q % p == 0 for x, m, p in out):
+                out.append((a, b - a, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, runs):
+    gone = {i for a, m, q in runs for i in range(a + q, a + m)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def planted_words(doc_id, w):
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    if doc_id is None or h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """rows: (id, vector, label), ids unique; returns {id: (code, error, label_error)} and the digest of the codebooks."""
+    ok = sorted((i, [math.floor(256 * e) for e in x], y) for i, x, y in rows if x and all(e is not None and math.isfinite(e) for e in x))
+    if not ok:
+        return {}, None
+    wide = len(ok[0][1]) // parts
+    cut = lambda x: [tuple(x[p * wide : (p + 1) * wide]) for p in range(parts)]
+    vectors = [cut(x) for _, x, _ in ok]
+    books = [[v[p] for v in vectors[:entries]] for p in range(parts)]
+    near = lambda book, x: min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            got = {}
+            for v in vectors:
+                got.setdefault(near(books[p], v[p])[1], []).append(v[p])
+            for k, xs in got.items():
+                books[p][k] = tuple(sum(c) // len(xs) for c in zip(*xs))
+    out, by_label = {}, {}
+    for (i, _, y), v in zip(ok, vectors):
+        found = [near(books[p], v[p]) for p in range(parts)]
+        out[i] = ("".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), y)
+        by_label[y] = by_label.get(y, 0) + out[i][1]
+    digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    return {i: (c, e, by_label[y]) for i, (c, e, y) in out.items()}, digest
+
+
+def warc_facts(pages):
+    """pages: (id, html), ids unique; returns id -> (bytes, digest, type, refers_to)."""
+    first = {}
+    for i, h in pages:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    out = {}
+    for i, h in pages:
+        b, low = utf8(h), first.get(h or "")
+        again = len(b) >= 100 and low is not None and low != i
+        out[i] = (len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", low if again else None)
+    return out

@@ -11,8 +11,8 @@ from plumbline.llm import bpe, jaccard, langid, mixing, neardup_vectors, quality
 from plumbline.llm.common import components
 from plumbline.llm.queries import tokenizer
 
-EXTRA = ["size", "kept", "shard", "slot", "n_words", "class", "component_id", "score", "secrets", "ids", "target", "copies", "lang_pred", "bucket", "value", "n", "s", "h", "k1", "gram", "t", "removed", "tokens", "row", "key", "cut", "range", "unit", "d", "k2", "_t", "_w", "_id", "_cut", "_s", "_h", "_k", "_copy", "_group", "_s_1", "h_"]
-SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in EXTRA)
+EXTRA = ["size", "kept", "shard", "slot", "n_words", "class", "component_id", "score", "secrets", "ids", "target", "copies", "lang_pred", "bucket", "value", "n", "s", "h", "k1", "gram", "t", "removed", "tokens", "row", "key", "cut", "range", "unit", "d", "k2", "_t", "_w", "_id", "_cut", "_s", "_h", "_k", "_copy", "_group", "_s_1", "h_", "a.b", "runs", "collapsed", "x", "g"]
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 
 def long_text(seed, n=30_000):
@@ -86,6 +86,20 @@ def test_language(spark, docs, none):
     assert langid.identify(spark, none, model).count() == 0
 
 
+def test_two_language_models_in_one_session(spark):
+    """What a worker keeps of one model isn't taken for another's, whatever their addresses."""
+    texts = spark.createDataFrame([(1, "abcabc abcd"), (2, "xyzxyz xyz")], "doc_id long, text string").coalesce(1)
+    one = spark.createDataFrame([("p", "abc abcabc abd " * 40), ("q", "xyz xyzxyz xyx " * 40)], "lang string, text string")
+    two = spark.createDataFrame([("p", "xyz xyzxyz xyx " * 40), ("q", "abc abcabc abd " * 40), ("r", "mno" * 50)], "lang string, text string")
+    runs = []
+    for k in range(6):
+        model = langid.train((one, two)[k % 2])
+        runs.append({r["doc_id"]: (r["lang_pred"], r["score"], r["bits_per_byte"]) for r in langid.identify(spark, texts, model).collect()})
+        del model
+    assert runs[0] == runs[2] == runs[4] and runs[1] == runs[3] == runs[5]
+    assert [runs[0][i][0] for i in (1, 2)] == ["p", "q"] and [runs[1][i][0] for i in (1, 2)] == ["q", "p"]
+
+
 def test_mixing(docs, none, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
@@ -95,7 +109,7 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none).count() == 0
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
-    assert mixed.where(" or ".join(f"{c} <> '?'" for c in EXTRA)).isEmpty()
+    assert mixed.where(" or ".join(f"`{c}` <> '?'" for c in EXTRA)).isEmpty()
 
 
 def test_vectors(spark):

@@ -141,3 +141,31 @@ def test_secrets(spark, docs):
 def test_substrings(spark, docs):
     got = {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in collected(spark, "op10_substrings").items()}
     assert got == brute.repeats([(d["doc_id"], d["text"]) for d in sorted(docs, key=lambda d: d["doc_id"])])
+
+
+def test_vector_codes(spark):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in pq.read_table(f"{DIR}/embeddings.parquet").to_pylist()]
+    want, digest = brute.vector_codes(rows)
+    got = q.op11_vector_codes(spark, DIR).collect()
+    assert {r["vec_id"]: (r["code"], r["error"], r["label_error"]) for r in got} == want and len(got) == len(want)
+    assert {r["codebooks_sha256"] for r in got} == {digest}
+
+
+def test_periodic_runs(spark, docs):
+    got = collected(spark, "op12_periodic_runs")
+    assert len(got) == len(docs)
+    for d in docs:
+        w = brute.planted_words(d["doc_id"], brute.words(d["text"]))
+        runs, r = brute.periodic_runs(w), got[d["doc_id"]]
+        top = min(runs, key=lambda x: (-x[1], x[0], x[2]), default=None)
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *(top or (None,) * 3))
+        assert r["exponent_milli"] == (1000 * top[1] // top[2] if top else None)
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{a},{m},{p}\n" for a, m, p in runs).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(brute.collapsed(w, runs).encode()).hexdigest()
+
+
+def test_warc(spark):
+    pages = [(r["page_id"], r["html"]) for r in pq.read_table(f"{DIR}/pages.parquet").to_pylist()]
+    got = q.op13_warc(spark, DIR).collect()
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == brute.warc_facts(pages)
+    assert len(got) == len(pages)
