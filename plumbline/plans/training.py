@@ -54,7 +54,7 @@ def train(df: DataFrame, record: str, components: Mapping[str, Sequence[tuple[st
     found, registry = {}, []
     for t in wanted:
         numeric = [c for c in features_of(t, components) if c in ready.columns]
-        out, facts = models.boosted_regression(rows, t, numeric, categories, "is_valid_", "sample_weight", trees, seed=seed)
+        out, facts = models.boosted_regression(rows, t, numeric, categories, "is_valid_", "sample_weight", trees, seed=seed, record=record)
         out = materialise(out.select(record, F.col(t).cast("double").alias(t), "prediction", "part"))
         shuffled = models.shuffled_error(out.where("part = 'valid'"), record, t, "prediction", seed).first()[0]
         std = facts["std_valid"]
