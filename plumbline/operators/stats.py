@@ -222,18 +222,12 @@ def percentile_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] =
 
 
 def _ranks(df: DataFrame, value: str, keys: Sequence[str], scale: float, least: int) -> DataFrame:
-    """:func:`_all_ranks` of one column, whose keys stand before the value in place of a feature."""
+    """``_key_0``, ..., ``_x`` and ``_pct`` of each distinct value."""
     names = [f"_key_{i}" for i in range(len(keys))]
     rows = df.where(F.col(value).isNotNull()).select(F.lit("").alias("_f"), *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).alias("_x"))
     return materialise(_placed(rows, ["_f", *names], scale, least).drop("_f"))
 
 
-def _all_ranks(df: DataFrame, values: Sequence[str], scale: float, least: int) -> DataFrame:
-    """Ranks of each column's values over all rows: ``_f`` (the column), ``_x``, ``_pct``, by one pass for all columns."""
-    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("_f"), F.col(x).cast("double").alias("_x")) for x in values])).alias("r")
-    return materialise(_placed(df.select(cells).select("r.*").where("_x is not null"), ["_f"], scale, least))
-
-
 def _join_ranks(df: DataFrame, ranks: DataFrame, value: str, out: str, keys: Sequence[str]) -> DataFrame:
     names = [f"_key_{i}" for i in range(len(keys))]
     cond = df[value] == ranks["_x"]
@@ -242,7 +236,7 @@ def _join_ranks(df: DataFrame, ranks: DataFrame, value: str, out: str, keys: Seq
     return df.join(ranks.withColumnRenamed("_pct", out), cond, "left").drop("_x", *names)
 
 
-def _placed(rows: DataFrame, keys: Sequence[str], scale: float, least: int, slices: int = 256) -> DataFrame:
+def _placed(rows: DataFrame, keys: Sequence[str], scale: float, least: int | Column, slices: int = 256) -> DataFrame:
     """``keys``, ``_x`` and ``_pct`` from the counts of distinct values, summed along their order.
 
     The order of each key's values is cut into slices at approximate quantiles; these only place the cuts, sums are
@@ -270,19 +264,36 @@ def _both(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def hierarchical_percentiles(df: DataFrame, values: Mapping[str, str], levels: Sequence[Sequence[str]], least: int = 8, empty: float = 50.0) -> DataFrame:
+def hierarchical_percentiles(df: DataFrame, values: Mapping[str, str], levels: Sequence[Sequence[str]], least: int = 8, empty: float = 50.0, split: bool | None = None) -> DataFrame:
     """For each output name -> column the percentile rank (0-100) in the first of ``levels`` (key lists) with ``least``
-    values, else over all rows, else ``empty``.
+    values, else over all rows with two values, else ``empty``.
+
+    The table goes into long form once: a row for each level, column and value.  One exchange and one sort rank all of
+    them, and one aggregation by row picks the first level and makes columns again, however many columns there are.  With
+    ``split`` (None: beyond ``LARGE`` rows) ranks come from counts of distinct values, see :func:`percentile_ranks`.
     """
-    overall = _all_ranks(df, list(values.values()), 100.0, 2)
-    split = [is_large(df, keys) for keys in levels]
-    for o, x in values.items():
-        for i, keys in enumerate(levels):
-            df = percentile_ranks(df, x, f"_p{i}_{o}", keys, 100.0, least, split[i])
-    for o, x in values.items():
-        df = _join_ranks(df, overall.where(F.col("_f") == x).drop("_f"), x, f"_all_{o}", ())
-    tries = {o: [*[f"_p{i}_{o}" for i in range(len(levels))], f"_all_{o}"] for o in values}
-    return df.withColumns({o: F.coalesce(*t, F.lit(float(empty))) for o, t in tries.items()}).drop(*[c for t in tries.values() for c in t])
+    names = sorted({k for keys in levels for k in keys})
+    rows = materialise(df.select("*", F.monotonically_increasing_id().alias("_row")), tag="ranked")  # written, so that the numbers stay
+    tables = [*map(set, levels), set()]
+    cells = [F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(values.values())]
+    groups = [F.struct(F.lit(i).alias("l"), *[(F.col(k) if k in keys else F.lit(None).cast(df.schema[k].dataType)).alias(f"k{n}") for n, k in enumerate(names)]) for i, keys in enumerate(tables)]
+    long = rows.select("_row", F.explode(F.filter(F.array(*cells), lambda c: c["x"].isNotNull())).alias("c"), F.array(*groups).alias("g"))
+    long = long.select("_row", F.col("c.f").alias("_f"), F.col("c.x").alias("_x"), F.explode("g").alias("g")).select("_row", "_f", "_x", F.col("g.l").alias("_l"), *[F.col(f"g.k{n}").alias(f"_g{n}") for n in range(len(names))])
+    keys = ["_l", "_f", *[f"_g{n}" for n in range(len(names))]]
+    enough = F.when(F.col("_l") == len(levels), 2).otherwise(least)
+    if rows.count() > LARGE if split is None else split:
+        ranks = materialise(_placed(long, keys, 100.0, enough), tag="ranks").withColumnsRenamed({c: f"_r{c}" for c in [*keys, "_x"]})
+        ranked = long.join(ranks, _both([long[c].eqNullSafe(ranks[f"_r{c}"]) for c in [*keys, "_x"]]))
+    else:
+        own = Window.partitionBy(*keys)
+        upto = own.orderBy("_x")
+        place = F.rank().over(upto) + (F.count(F.lit(1)).over(upto.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2.0
+        n = F.count(F.lit(1)).over(own)
+        ranked = long.withColumn("_pct", F.when(n >= enough, place / n * 100.0))
+    first = lambda i: F.min(F.when((F.col("_f") == i) & F.col("_pct").isNotNull(), F.struct("_l", "_pct")))["_pct"]
+    wide = ranked.groupBy("_row").agg(*[first(i).alias(f"_p{i}") for i in range(len(values))])
+    out = rows.join(materialise(wide, tag="ranks"), "_row", "left")
+    return out.select(*[c for c in df.columns if c not in values], *[F.coalesce(f"_p{i}", F.lit(float(empty))).alias(o) for i, o in enumerate(values)])
 
 
 def hierarchical_percentile(df: DataFrame, value: str, out: str, levels: Sequence[Sequence[str]], least: int = 8, empty: float = 50.0) -> DataFrame:
