@@ -100,3 +100,27 @@ def sample_copy(t):
 
     ids = t("customer").where("c_nationkey = 3").select("c_custkey")
     return sample_tables({"orders": t("orders")}, {"orders": "o_custkey"}, ids)["orders"].select("o_orderkey", "o_custkey")
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(
+    "lookup_by_either_id",
+    f"""
+SELECT 'part' AS looked_up, {", ".join(_LINE)} FROM lineitem WHERE l_partkey = (SELECT max(l_partkey) FROM lineitem)
+UNION ALL SELECT 'supplier', {", ".join(_LINE)} FROM lineitem WHERE l_suppkey = (SELECT max(l_suppkey) FROM lineitem)
+""",
+)
+def lookup_by_either_id(t):
+    """All lines written along a curve over part, supplier and price; those of one part and of one supplier from it."""
+    from plumbline.sources.curve import write_curve
+    from plumbline.sources.scratch import new_path
+
+    lines = t("lineitem").select(*_LINE)
+    path = new_path(lines.sparkSession, "curve")
+    write_curve(lines, path, ["l_partkey", "l_suppkey", "l_extendedprice"], ["l_partkey", "l_suppkey"])
+    table = lines.sparkSession.read.schema(lines.schema).parquet(path)
+    part, supplier = lines.agg(F.max("l_partkey"), F.max("l_suppkey")).first()
+    found = [table.where(F.col(c) == v).select(F.lit(k).alias("looked_up"), *_LINE) for c, v, k in (("l_partkey", part, "part"), ("l_suppkey", supplier, "supplier"))]
+    return found[0].unionByName(found[1])
