@@ -1,5 +1,6 @@
 """Similarity join on word n-grams by vertical partitioning.
 
+First, the smallest hashes of each set show which classes can have a partner at all; only theirs are sent whole.
 The n-grams of all documents have one global order: by frequency class (powers of two), then by hash.  The order is
 cut into fragments; the part of a document's set that falls in a fragment is a segment.  Candidates arise within
 fragments, where segments share an n-gram of the sets' prefixes; the overlaps of a pair are counted segment by
@@ -35,6 +36,10 @@ _BLOCK = 2048
 _HOT = 512
 #: Grams of a group of classes in memory at once.
 _SLICE = 131_072
+#: Partners share one in so many n-grams of a set, at least, among the smallest hashes of both.
+_SHARE = 10
+#: Bits of the map of classes that can have a partner; with more classes than it is made for, some are sent in vain.
+_MAP = 1 << 25
 
 
 def _sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -56,6 +61,37 @@ def _sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray]:
     return sets, prints
 
 
+def _map_of(classes: DataFrame, rows: int) -> np.ndarray:
+    """A map of bits, two of which are set for each of ``rows`` classes."""
+    bits = min(_MAP, 1 << max(10, (16 * rows).bit_length()))
+    spots = classes.select(F.explode(F.array(*[F.shiftrightunsigned("class", s).bitwiseAND(F.lit(bits - 1)) for s in (8, 36)])).alias("bit"))
+    words = spots.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint64)
+
+
+def _in_map(bits: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Which classes the map may hold; those that it holds are always among them."""
+    inside = np.ones(len(classes), dtype=bool)
+    for s in (8, 36):
+        bit = (classes >> np.uint64(s)) & np.uint64(64 * len(bits) - 1)
+        inside &= (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return inside
+
+
+def _least(n: np.ndarray | int, percent: int) -> np.ndarray:
+    """Of sets of ``n`` n-grams, the k smallest common ones with any partner that :func:`_prefix` holds for both sets,
+    if the partner has ``n`` too; it never falls as ``n`` grows."""
+    return np.maximum(1, np.minimum(n // _SHARE, -(-percent * n // 100)))
+
+
+def _prefix(n: np.ndarray | int, percent: int) -> np.ndarray:
+    """How many of a set's smallest hashes are looked at: a partner lacks at most n - need of the n, so the k smallest
+    common ones are among the first n - need + k of either set."""
+    return np.minimum(n, n - -(-percent * n // 100) + _least(n, percent))
+
+
 def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """Rows ``doc_id``, ``n_shingles``, ``class_id``, ``component_id`` for every document (ids by ``record``'s name).
 
@@ -71,6 +107,11 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
     sent to their classes directly, so no task gets all classes of such an n-gram; there are at most _HOT times the
     mean set size of them, which is what is broadcast.
 
+    A set is sent whole only if enough of its smallest hashes (some three in ten at 80 percent) are in other classes, as
+    those of any partner are.  By a shuffle's many buckets every hash of a large corpus travels with its class alone, which
+    takes up to three times its own bytes, so what is sent decides the disk.  The classes that are left are broadcast as
+    a map of at most ``_MAP`` bits, which knows all of them and may take others for them.
+
     Shingles and classes are 64-bit hashes: among n different ones about n*n/2**65 pairs are confused.
     """
     spark = docs.sparkSession
@@ -95,35 +136,35 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
     often = facts.where("n is null").groupBy(F.col("class").alias("gram")).agg(F.sum("id").alias("c")).where(F.col("c") > rows / (2 * _HOT))
     often = sorted((r["gram"], r["c"]) for r in often.collect())
     hot = spark.sparkContext.broadcast((np.array([g for g, _ in often], dtype=np.int64).view(np.uint64), np.array([c for _, c in often], dtype=np.uint32)))
-    buckets = buckets_for(total, partitions(spark))
+    wanted = None  # the map of classes that can have a partner, once it is known
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of ``wanted`` classes, or of every class the smallest."""
         grams = np.sort(hot.value[0])
         seen: set[int] = set()  # classes this task has sent; forgetting them would only send a copy twice
         for batch in by_bytes(batches, "text"):
             sets, prints = _sets(batch.column("text"), words)
-            new = []
+            new, able = [], np.ones(len(prints), dtype=bool) if wanted is None else _in_map(wanted.value, prints)
             for i, p in enumerate(prints.tolist()):
-                if p and p not in seen:
+                if p and able[i] and p not in seen:
                     seen.add(p)
                     new.append(i)
             if len(seen) > 500_000:
                 seen.clear()
             if not new:
                 continue
-            sizes = np.array([len(sets[i]) for i in new], dtype=np.uint32)
-            values, who = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), sizes)
+            sizes = np.array([len(sets[i]) for i in new], dtype=np.int64)
+            sent = sizes if wanted is not None else _prefix(sizes, percent)
+            values, who = np.concatenate([sets[i][:k] for i, k in zip(new, sent.tolist(), strict=True)]), np.repeat(np.arange(len(new)), sent)
             known = np.isin(values, grams)
-            headers = {"class": prints[new], "n": sizes}
+            headers = {"class": prints[new], "n": sizes.astype(np.uint32)}
             # values by their own buckets, hot ones by those of their classes, which are numbered after these
             for take, key, base in ((~known, values, 0), (known, prints[new][who], buckets)):
                 if take.any():
                     yield pack(values[take], who[take], buckets, headers, {}, key[take], base)
 
-    packed = src.mapInArrow(emit, "bucket int, value binary, count binary, class binary, n binary")
-
-    def shared_only(key: tuple, table: pa.Table) -> pa.Table:
-        """Of one bucket, the shingles that two or more classes have, with that number, by buckets of classes."""
+    def found_twice(key: tuple, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of one bucket, the shingles that two or more classes have, by class: class, shingle, size, number of classes."""
         x = unpack(table, {"class": "<u8", "n": "<u4"}, {})
         order = np.lexsort((x["class"], x["value"]))
         v, c, n = x["value"][order], x["class"][order], x["n"][order]
@@ -141,7 +182,30 @@ def shingle_join(docs: DataFrame, text: str = "text", record: str = "doc_id", wo
         keep = freq > 1
         v, c, n, freq = v[keep], c[keep], n[keep], freq[keep]
         order = np.argsort(c, kind="stable")
-        v, c, n, freq = v[order], c[order], n[order], freq[order]
+        return c[order], v[order], n[order], freq[order]
+
+    def shared_number(key: tuple, table: pa.Table) -> pa.Table:
+        """The classes that share shingles of one bucket, with their number."""
+        c, _, n, _ = found_twice(key, table)
+        c, at, k = np.unique(c, return_index=True, return_counts=True)
+        return pa.table({"class": c.view(np.int64), "n": n[at].astype(np.int64), "k": k.astype(np.int64)})
+
+    # every class's smallest shingles: those of partners meet there (``emit`` and the rest go to tasks with the values of
+    # ``buckets`` and ``wanted`` at the time a plan is made)
+    kind = "bucket int, value binary, count binary, class binary, n binary"
+    buckets = buckets_for(int(total * _prefix(1000, percent) / 1000), partitions(spark))
+    least = F.greatest(F.lit(1), F.least(F.floor(F.col("need") / _SHARE), F.ceil(F.col("need") * percent / 100)))
+    hopeful = src.mapInArrow(emit, kind).groupBy("bucket").applyInArrow(shared_number, "class long, n long, k long").groupBy("class", "n").agg(F.sum("k").alias("k"))
+    # a partner has at least ``need`` shingles, so both sets' prefixes hold as many common ones as are due to that size
+    hopeful = scratch(hopeful.withColumn("need", F.ceil(F.col("n") * percent / 100)).where(F.col("k") >= least).select("class", "n"), "hopeful")
+    total, rows = hopeful.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    wanted = spark.sparkContext.broadcast(_map_of(hopeful, rows))
+    buckets = buckets_for(total, partitions(spark))
+    packed = src.mapInArrow(emit, kind)
+
+    def shared_only(key: tuple, table: pa.Table) -> pa.Table:
+        """Of one bucket, the shingles that two or more classes have, with that number, by buckets of classes."""
+        c, v, n, freq = found_twice(key, table)
         edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
         who = np.repeat(np.arange(len(edge)), np.diff(np.concatenate([edge, [len(c)]]))) if len(c) else edge
         return pa.Table.from_batches([pack(v, who, buckets, {"class": c[edge], "n": n[edge]}, {"freq": freq}, c)])

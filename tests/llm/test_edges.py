@@ -290,3 +290,33 @@ def test_substrings_within_and_across(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substrings.remove_repeats(df).collect()}
     assert got == {k: v[:2] for k, v in brute.repeats(rows).items()}
+
+
+def test_jaccard_at_the_threshold(spark):
+    """Pairs that just reach the threshold, and pairs that just don't, of sets of all small sizes."""
+    rows = []
+    for m in range(1, 48):
+        a = [f"a{m}x{i}" for i in range(m + 4)]
+        rows.append((1000 * m, " ".join(a)))
+        for i, (x, y) in enumerate((x, y) for x in range(1, m + 1) for y in (0, m - x) if -1 <= 10 * x - 8 * (m + y) <= 9 or 0 < 8 * (m + y) - 10 * x <= 9):
+            rows.append((1000 * m + 1 + i, " ".join(a[: x + 4] + [f"b{m}x{i}x{j}" for j in range(y)])))
+    want = brute.jaccard_groups(rows)
+    assert {i for i, _ in rows if want[i][1] != i} and {i for i, _ in rows if i % 1000 and want[i][1] == i}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.shingle_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_jaccard_sends_less_than_its_shingles(spark):
+    """Without near copies, what is shuffled stays under the shingles' own bytes (8 each), also by many buckets."""
+    r = random.Random(9)
+    rows = [(i, " ".join(f"{r.randrange(10**9)}" for _ in range(304))) for i in range(1000)]
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before, size = written(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = jaccard.shingle_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", size)
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert len(got) == 1000 and all(x["component_id"] == x["doc_id"] for x in got)
+    assert 0 < written() - before < 8 * 300 * 1000
