@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import pieces
-from plumbline.llm.common import map_rows, named
+from plumbline.llm.common import held, map_rows, named
 from plumbline.llm.wordhash import flat_bytes
 
 #: Fixed value: the split of texts into pieces, none of which a token crosses.
@@ -282,17 +282,12 @@ class ByteBPE:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_OPEN: dict[str, ByteBPE] = {}
-
-
 def _opened(path: str) -> ByteBPE:
     """One a worker: the automaton takes a while to build."""
-    if path not in _OPEN:
-        _OPEN[path] = ByteBPE(path)
-    return _OPEN[path]
+    return held(("bpe", path), lambda: ByteBPE(path))
 
 
-def _chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     sizes = pc.binary_length(column.cast(pa.large_binary()).fill_null(b"")).to_numpy()
     lo = 0
     for hi in [*(np.flatnonzero(np.diff(np.cumsum(sizes) // size)) + 1).tolist(), len(sizes)]:

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import map_rows, named
+from plumbline.llm.common import held, map_rows, named
 from plumbline.llm.wordhash import Places, by_bytes, flat_bytes
 
 _PAD = "   "
-#: Language costs of bytes that are held at once.
-_CELLS = 1 << 22
+#: Language costs of bytes that are held at once: some arrays of a few MB in all, which a worker gives back.
+_CELLS = 1 << 18
 _UNIFORM = 8.0
 
 
@@ -119,15 +119,9 @@ def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PPM | None:
     return PPM(languages, triples, quads, short, escape3, delta, escape2, order1)
 
 
-_OPEN: dict = {}
-
-
 def _index(model: PPM, key: str) -> tuple[Places, Places]:
     """Hash tables of the triples and quadruples; once a worker."""
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = Places(model.triples), Places(model.quads)
-    return _OPEN[key]
+    return held(("langid", key), lambda: (Places(model.triples), Places(model.quads)))
 
 
 def code_lengths(model: PPM, index: tuple[Places, Places], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

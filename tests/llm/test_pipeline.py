@@ -1,11 +1,15 @@
 """The stages of the corpus pipeline, each against a plain version on its own input."""
 
+import tracemalloc
+import weakref
+
 import brute
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
-from plumbline.llm import secrets
+from plumbline.llm import bpe, langid, secrets
 from plumbline.llm.queries import tokenizer
 
 DIR = "/root/testdata/sf0.001"
@@ -81,3 +85,43 @@ def test_stages_on_no_rows(spark):
     docs = frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0
+
+
+def _peak(work) -> float:
+    """MB that Python and NumPy take at most during ``work``."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_worker_keeps_one_stage_s_tables():
+    """A worker that goes from tokens to the next run's languages and back has tables of one at a time."""
+    path = tokenizer("byte_bpe_50k.json")
+    model = langid.fit(np.array(["en", "de"], dtype=object), np.array([0x20202061, 0x20206162]), np.array([3.0, 2.0]))
+    coder = bpe._opened(path)
+    assert bpe._opened(path) is coder
+    gone = weakref.ref(coder)
+    del coder
+    index = langid._index(model, "some model")
+    assert gone() is None
+    assert langid._index(model, "some model") is index
+    gone = weakref.ref(index[0])
+    del index
+    bpe._opened(path)
+    assert gone() is None
+
+
+def test_memory_of_long_slices():
+    """Coding a slice of some MB takes a few MB besides it, for languages as for tokens."""
+    r = np.random.default_rng(3)
+    texts = ["".join(map(chr, r.choice([*range(97, 123), 32], 4000))) for _ in range(1000)]
+    grams, n = np.unique(r.integers(0x61616161, 0x7A7A7A7A, 20000), return_counts=True)
+    model = langid.fit(np.repeat(np.array(["en", "de", "fr", "es"], dtype=object), len(grams)), np.tile(grams, 4), np.tile(n.astype(float), 4))
+    column = pa.array(texts, pa.large_string())
+    index = langid._index(model, "model of long slices")
+    assert _peak(lambda: langid.code_lengths(model, index, column)) < 30
+    lo, hi = next(bpe._chunks(column))
+    assert sum(map(len, texts[lo:hi])) <= 300_000
