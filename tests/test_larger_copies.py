@@ -50,3 +50,17 @@ def test_weights_have_their_exact_sum(spark):
     x = spark.range(1).select(*[F.lit(v).alias(f"p{i}") for i, v in enumerate((0.5, 0.0, 0.5, 0.0, 0.0))])
     got = x.select(weighted_mean([(f"p{i}", w) for i, w in enumerate(ws)]).alias("m")).first()["m"]
     assert got == (0.5 * 0.35 + 0.5 * 0.15) / math.fsum(ws) == 0.25
+
+
+def test_candidates_of_a_hot_key_are_neither_sorted_nor_sent(spark):
+    """Pairs are as many as the product of a key's rows: what passes between tasks and into sorts is a row a left row."""
+    from plumbline.operators.matching import best_candidate
+
+    left = spark.range(0, 200, 1, 4).select(F.col("id"), F.lit("k").alias("k"), (F.col("id") * 1.0).alias("b"))
+    right = spark.range(300).select(F.col("id").alias("other"), F.lit("k").alias("k"), (F.col("id") % 150 * 1.0).alias("o"))
+    out = best_candidate(left, right, "k", "id", "other", F.abs(F.col("b") - F.col("o")), 10.0, ["o"])
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [p for p in plan if "SortAggregate" in p and "_score" in p]  # pairs aren't sorted: those that are have the lowest score
+    got = {r["id"]: r for r in out.collect()}
+    assert all(got[i]["other"] == i and got[i]["match_score"] == 0 and got[i]["candidate_count"] == 300 for i in range(150))  # ties go to the smaller id
+    assert got[159]["match_status"] == "matched" and got[159]["other"] == 149 and got[160]["match_status"] == "low_confidence" and got[160]["o"] is None
